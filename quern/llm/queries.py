@@ -40,6 +40,24 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours(table(spark, folder, "chunks"), int(settings(spark, folder)["neighbours_k"]))
 
 
+def pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """piece_id and text of all chunks and parent chunks."""
+    both = [table(spark, folder, name).select(F.col("id").alias("piece_id"), "text") for name in ("chunks", "parent_chunks")]
+    return both[0].unionByName(both[1])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.markup import markup_found
+
+    return markup_found(pieces(spark, folder))
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.markup import clean_pieces
+
+    return clean_pieces(pieces(spark, folder)).distinct()
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     from quern.llm.grouping import straddling_groups
 
@@ -66,8 +84,21 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return fill_containers(sized_documents(table(spark, folder, "documents")), capacity)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.sentences import fitted, sentences
+
+    documents = table(spark, folder, "documents")
+    return sentences(documents.where(F.col("source_type").isin("txt", "pdf")), fitted(documents))
+
+
+def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.sentences import sentences
+
+    return sentences(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p7_found, p7_splits, p8_ids, p9_containers)
+    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p6_found, p6_clean, p7_found, p7_splits, p8_ids, p9_containers, p10_found, p10_sentences)
 }
 
 ORACLE_SQL: dict[str, str] = {}
