@@ -40,6 +40,38 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours(table(spark, folder, "chunks"), int(settings(spark, folder)["neighbours_k"]))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.defects import defects
+
+    return defects(table(spark, folder, "eval_items"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.splitting import oversized
+
+    own = settings(spark, folder)
+    return oversized(table(spark, folder, "parent_chunks"), int(own["child_chunk_size"]), int(own["child_chunk_overlap"]))
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.splitting import split_oversized
+
+    own = settings(spark, folder)
+    return split_oversized(table(spark, folder, "parent_chunks"), int(own["child_chunk_size"]), int(own["child_chunk_overlap"])).distinct()
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.overlap import found
+
+    return found(table(spark, folder, "eval_items"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.overlap import report
+
+    return report(table(spark, folder, "eval_items"))
+
+
 def pieces(spark: SparkSession, folder: str) -> DataFrame:
     """piece_id and text of all chunks and parent chunks."""
     both = [table(spark, folder, name).select(F.col("id").alias("piece_id"), "text") for name in ("chunks", "parent_chunks")]
@@ -98,7 +130,49 @@ def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p6_found, p6_clean, p7_found, p7_splits, p8_ids, p9_containers, p10_found, p10_sentences)
+    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p3_found, p4_found, p4_pieces, p5_found, p5_report, p6_found, p6_clean, p7_found, p7_splits, p8_ids, p9_containers, p10_found, p10_sentences)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Another way to let every list count equally: the mean normalised place. It picks the same chunk.
+    "p1_found": """
+        with own as (
+            select query_id, chunk_id, retriever as list, score from retrieval_results where components is null and retriever <> 'hybrid'
+            union all
+            select query_id, chunk_id, e.key, map_extract(e.value, 'score')[1]
+            from (select query_id, chunk_id, unnest(map_entries(components)) as e from retrieval_results where components is not null)),
+        best as (select query_id, chunk_id, list, max(score) as score from own where score is not null and not isnan(score) group by all),
+        placed as (
+            select query_id, chunk_id, 1 - (rank() over l + count(*) over (partition by query_id, list, score) - 2.0) / count(*) over (partition by query_id, list) as place
+            from best window l as (partition by query_id, list order by score desc)),
+        summed as (select query_id, chunk_id, round(sum(place), 9) as s from placed group by all)
+        select query_id, chunk_id from summed qualify row_number() over (partition by query_id order by s desc, chunk_id) = 1""",
+    "p2_found": """
+        with own as (
+            select distinct id, embedding_model as m, embedding::double[64] as v from chunks
+            where len(embedding) = 64 and embedding_model is not null and len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs as (select a.id as a, b.id as b, array_cosine_similarity(a.v, b.v) as s from own a join own b on a.m = b.m and a.id <> b.id where array_cosine_similarity(a.v, b.v) >= 0.9),
+        near as (select a, b from pairs qualify row_number() over (partition by a order by round(s, 9) desc, b) <= 10)
+        select distinct least(a, b) as chunk_a, greatest(a, b) as chunk_b from near""",
+    "p4_found": r"""
+        with words as (
+            select id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) as w from (select distinct id, text from parent_chunks)),
+        parts as (
+            select id, w, length(w) as n, regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') as p from words),
+        costs as (
+            select id, case when n = 1 then 1
+                when regexp_matches(w, '\p{Nd}') and regexp_matches(w, '\p{L}') then 1 + (n - 1) // 2
+                when len(p) > 1 then list_sum(list_transform(p, lambda x: 1 + (length(x) - 1) // 7))
+                else 1 + (n - 1) // 7 end as c from parts)
+        select id as parent_id from costs group by id having sum(c) > (select amount from run_settings where setting = 'child_chunk_size')""",
+    "p7_found": """
+        with recursive named as (
+            select distinct id, lower(trim(d)) as doc from (select id, unnest(relevant_document_ids) as d from eval_items) where trim(d) <> ''),
+        links as (select distinct a.id as a, b.id as b from named a join named b using (doc)),
+        reach(a, b) as (select id, id from (select distinct id from eval_items) union select r.a, l.b from reach r join links l on r.b = l.a),
+        groups as (select a as item_id, min(b) as group_id from reach group by a),
+        splits as (select distinct id as item_id, nullif(lower(trim(split)), '') as split from eval_items),
+        mixed as (select group_id from groups join splits using (item_id) group by group_id having count(distinct split) > 1)
+        select item_id, group_id from groups semi join mixed using (group_id)""",
+}
