@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -137,8 +137,7 @@ def json_object(reply: str) -> dict:
     raise ValueError("no JSON object in the reply")
 
 
-@F.pandas_udf("string")
-def json_text(replies: pd.Series) -> pd.Series:
+def json_text(replies: Column) -> Column:
     """json_object of a column as text, for from_json; null where there is none."""
 
     def one(r: str | None) -> str | None:
@@ -147,7 +146,11 @@ def json_text(replies: pd.Series) -> pd.Series:
         except ValueError:
             return None
 
-    return replies.map(one)
+    @F.pandas_udf("string")
+    def first(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return first(replies)
 
 
 def structured(call: Callable[[str, str], Reply], check: Callable[[dict], str | None], repairs: int = 1) -> Callable[[str, str], tuple[dict, int]]:
