@@ -6,6 +6,7 @@ other word one per 7, and a compound identifier is costed run by run.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -19,8 +20,9 @@ WORD_CHARS, MIXED_CHARS = 7, 2
 _piece, _run = re.compile(PIECE), re.compile(RUN)
 
 
+@functools.lru_cache(200_000)
 def word_cost(word: str) -> int:
-    """Tokens of one piece."""
+    """Tokens of one piece. Words recur, so most are only looked up."""
     n = len(word)
     if n == 1:
         return 1
