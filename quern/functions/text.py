@@ -17,19 +17,19 @@ def normalize_plain(text: Column) -> Column:
     """Line feeds only, no NUL, no trailing blanks, single blank lines, trimmed."""
     t = F.regexp_replace(text, r"\r\n?", "\n")
     t = F.regexp_replace(t, "\x00", "")
-    t = F.regexp_replace(t, r"(?m)[^\S\n]+$", "")
+    t = F.regexp_replace(t, r"(?mdU)[^\S\n]+$", "")
     t = F.regexp_replace(t, r"\n[ \t]*\n(?:[ \t]*\n)+", "\n\n")
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 
 
 def normalize_markdown(text: Column) -> Column:
     """normalize_plain without comments and heading anchors, ending in one line feed unless empty."""
     t = F.regexp_replace(text, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?m)[^\S\n]+$", "")
+    t = F.regexp_replace(t, r"(?mdU)[^\S\n]+$", "")
     t = F.regexp_replace(t, r"(?m)^(#{1,6}[ \t]+.+?)[ \t]*\{#[^}\n]*\}[ \t]*$", "$1")
     t = F.regexp_replace(t, r"\n[ \t]*\n(?:[ \t]*\n)+", "\n\n")
-    t = F.regexp_replace(t, r"^\s+|\s+$", "")
+    t = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
     return F.when(t == "", "").otherwise(F.concat(t, F.lit("\n")))
 
 
@@ -57,7 +57,7 @@ def question_id(question: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
 def stem(word: Column) -> Column:

@@ -48,7 +48,7 @@ def estimate(text: str, start: int = 0, end: int | None = None) -> int:
 
 def token_estimate(text: Column) -> Column:
     """Tokens of a text column, computed in the JVM; null for null."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?U)(\w+|[^\w\s])"), 1)
+    pieces = F.regexp_extract_all(text, F.lit(r"(?U)([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f])"), 1)
 
     def cost(p: Column) -> Column:
         n = F.length(p)

@@ -29,9 +29,14 @@ def introductions(chunks: DataFrame, category: str = "concepts", least_chars: in
     return chunks.where((F.col("ordinal") == 0) & (F.col("metadata")["doc_category"] == category) & (F.length("text") > least_chars))
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A value to order rows by as if shuffled, the same everywhere for one seed."""
+    return F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key)), 256)
+
+
 def per_document(chunks: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
     """Up to ``most`` chunks of every document, in seeded order; each chunk once."""
-    w = Window.partitionBy("document_id").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    w = Window.partitionBy("document_id").orderBy(seeded("id", seed), "id")
     return chunks.dropDuplicates(["id"]).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
 
 
@@ -89,7 +94,7 @@ def evidence_runs(sentences: list[tuple[int, int]], numbers: Iterable[int]) -> l
 
 def stratified_split(items: DataFrame, dev_fraction: float, seed: int = 0) -> DataFrame:
     """Items with split dev or test: of every question type the first round(n * dev_fraction) in seeded hash order are dev."""
-    w = Window.partitionBy("question_type").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    w = Window.partitionBy("question_type").orderBy(seeded("id", seed), "id")
     n = items.groupBy("question_type").agg(F.bround(F.count("*") * F.lit(dev_fraction), 0).cast("long").alias("n_dev"))
     return items.withColumn("nth", F.row_number().over(w)).join(F.broadcast(n), "question_type").withColumn("split", F.when(F.col("nth") <= F.col("n_dev"), "dev").otherwise("test")).drop("nth", "n_dev")
 

@@ -20,7 +20,7 @@ def _weights(weights: dict[str, float]) -> Column:
 
 def _components() -> Column:
     entry = F.struct(F.col("retriever"), F.map_from_arrays(F.array(F.lit("rank"), F.lit("score")), F.array(F.col("rank").cast("double"), F.round("score", 6))))
-    return F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("components")
+    return F.map_from_entries(F.collect_list(entry)).alias("components")
 
 
 def rrf(lists: DataFrame, k: int, weights: dict[str, float], rrf_k: int = 60) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators.dataset import seeded
 from quern.schema import EVAL_ITEMS, QUESTION_TYPES, SPLITS
 
 
@@ -72,7 +73,7 @@ def read_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def review_sample(items: DataFrame, per_type: int, seed: int = 0) -> DataFrame:
     """Up to ``per_type`` items of every question type in seeded order, evidence in one cell, for a CSV sheet."""
-    w = Window.partitionBy("question_type").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    w = Window.partitionBy("question_type").orderBy(seeded("id", seed), "id")
     quotes = F.concat_ws(" || ", F.transform("evidence", lambda e: e["quote"]))
     return items.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_type).select("id", "question_type", "question", "ground_truth_answer", quotes.alias("evidence"))
 
