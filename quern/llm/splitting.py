@@ -14,9 +14,10 @@ boundary is cut between characters. Rows repeated exactly give the same pieces o
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -63,7 +64,28 @@ def block_spans(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def units(text: str, limit: int) -> list[tuple[int, int, int, int]]:
+class Costs:
+    """Tokens of any slice of a text from running sums over its pieces."""
+
+    def __init__(self, text: str):
+        self.text = text
+        pieces_ = costed(text)
+        self.starts, self.ends = [p[0] for p in pieces_], [p[1] for p in pieces_]
+        self.sums = [0, *itertools.accumulate(p[2] for p in pieces_)]
+
+    def of(self, a: int, b: int) -> int:
+        i, j = bisect_left(self.starts, a), bisect_right(self.ends, b)
+        if i and self.ends[i - 1] > a or j < len(self.ends) and self.starts[j] < b:
+            return estimate(self.text, a, b)  # an end lies within a piece
+        return self.sums[max(i, j)] - self.sums[i]
+
+    def within(self, a: int, b: int) -> list[tuple[int, int, int]]:
+        """Start, end and tokens of the pieces of a slice whose ends lie between pieces."""
+        i, j = bisect_left(self.starts, a), bisect_right(self.ends, b)
+        return [(self.starts[k], self.ends[k], self.sums[k + 1] - self.sums[k]) for k in range(i, j)]
+
+
+def units(text: str, limit: int, costs: Costs) -> list[tuple[int, int, int, int]]:
     """Start, end, tokens and closing boundary of units of at most ``limit`` tokens each."""
     out: list[tuple[int, int, int, int]] = []
 
@@ -71,7 +93,7 @@ def units(text: str, limit: int) -> list[tuple[int, int, int, int]]:
         """Word windows of an eighth of the limit; longer runs by characters."""
         goal = max(1, limit // 8)
         start, held, stop = a, 0, a
-        for s, e, c in costed(text, a, b):
+        for s, e, c in costs.within(a, b):
             if held and held + c > goal:
                 out.append((start, s, held, WORD))
                 start, held = s, 0
@@ -79,9 +101,9 @@ def units(text: str, limit: int) -> list[tuple[int, int, int, int]]:
                 x = s
                 while x < e:
                     y = min(e, x + goal * 2)
-                    while y - x > 1 and estimate(text, x, y) > goal:
+                    while y - x > 1 and costs.of(x, y) > goal:
                         y -= max(1, (y - x) // 8)
-                    out.append((x, y, estimate(text, x, y), CHARACTER if y < e else WORD))
+                    out.append((x, y, costs.of(x, y), CHARACTER if y < e else WORD))
                     x = y
                 start, held = e, 0
             else:
@@ -95,19 +117,19 @@ def units(text: str, limit: int) -> list[tuple[int, int, int, int]]:
 
     for a, b, code in block_spans(text):
         parts = [(a, b)]
-        if estimate(text, a, b) > limit // 4 or not code:
+        if costs.of(a, b) > limit // 4 or not code:
             if code or text.count("\n", a, b) and re.search(r"\n[ ]*(?:[-*+|]|\d+\.|\\item|<)", text[a:b]):
                 parts = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^\n]+", text[a:b])]
         for k, (s, e) in enumerate(parts):
             ends = LINE if k + 1 < len(parts) else BLOCK
-            n = estimate(text, s, e)
+            n = costs.of(s, e)
             if code and n <= limit // 2:
                 out.append((s, e, n, ends))
                 continue
             spans = list(splitter().paragraph(text, s, e)) or [(s, e)]
             for j, (x, y) in enumerate(spans):
                 last = SENTENCE if j + 1 < len(spans) else ends
-                c = estimate(text, x, y)
+                c = costs.of(x, y)
                 if c > limit // 2:
                     words(x, y, last)
                 else:
@@ -117,22 +139,36 @@ def units(text: str, limit: int) -> list[tuple[int, int, int, int]]:
 
 def depths(bags: list[Counter]) -> list[float]:
     """Of each gap after a unit, how deep a valley of cohesion it is."""
-
-    def cosine(a: Counter, b: Counter) -> float:
-        if not a or not b:
-            return 0.0
-        dot = sum(v * b[k] for k, v in a.items() if k in b)
-        return dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
-
     n = len(bags)
     sim = []
+    # The blocks before and after a gap move on by one unit each, and with them their product and lengths.
+    left, right = Counter(), Counter()
+    dot = ll = rr = 0
+    for x in bags[1 : 1 + BLOCK_UNITS]:
+        for k, v in x.items():
+            rr += v * (2 * right[k] + v)
+            right[k] += v
+
+    def move(block: Counter, other: Counter, bag: Counter, sign: int) -> tuple[int, int]:
+        """Add or take a bag: what that changes of the square of the block and of the product."""
+        square = product = 0
+        for k, v in bag.items():
+            v *= sign
+            square += v * (2 * block[k] + v)
+            product += v * other[k]
+            block[k] += v
+        return square, product
+
     for i in range(n - 1):
-        left, right = Counter(), Counter()
-        for x in bags[max(0, i + 1 - BLOCK_UNITS) : i + 1]:
-            left.update(x)
-        for x in bags[i + 1 : i + 1 + BLOCK_UNITS]:
-            right.update(x)
-        sim.append(cosine(left, right))
+        for block, other, j, sign in ((left, right, i, 1), (left, right, i - BLOCK_UNITS, -1), (right, left, i, -1) if i else (right, left, -1, 1), (right, left, i + BLOCK_UNITS, 1) if i else (right, left, -1, 1)):
+            if 0 <= j < n:
+                square, product = move(block, other, bags[j], sign)
+                dot += product
+                if block is left:
+                    ll += square
+                else:
+                    rr += square
+        sim.append(dot / math.sqrt(ll * rr) if ll and rr else 0.0)
     out = []
     for i, s in enumerate(sim):
         l = r = s
@@ -152,7 +188,8 @@ def pieces(text: str | None, limit: int, overlap: int) -> list[tuple[int, int, i
     """Start, end and tokens of the pieces of a text above ``limit`` tokens; none for others."""
     if not text or len(text) <= limit or estimate(text) <= limit:
         return []
-    own = units(text, limit)
+    costs = Costs(text)
+    own = units(text, limit, costs)
     bags = [Counter(t.lower() for t in TERM.findall(text, a, b)) for a, b, _, _ in own]
     deep = depths(bags)
     sums = [0]
@@ -165,13 +202,13 @@ def pieces(text: str | None, limit: int, overlap: int) -> list[tuple[int, int, i
     def size(first: int, start: int, last: int) -> int:
         """Tokens from ``start``, which lies before unit ``first``, to the end of unit ``last``."""
         if split_run[last + 1] > split_run[max(0, first - 1)]:
-            return estimate(text, start, own[last][1])
-        return estimate(text, start, own[first][0]) + sums[last + 1] - sums[first]
+            return costs.of(start, own[last][1])
+        return costs.of(start, own[first][0]) + sums[last + 1] - sums[first]
 
     out: list[tuple[int, int, int]] = []
     first, start = 0, own[0][0]
     while first < len(own):
-        shared = estimate(text, start, own[first][0])
+        shared = costs.of(start, own[first][0])
         room = limit - shared
         # The last unit that fits, by sums and then, where runs are cut, by the text itself.
         last = min(len(own), bisect_right(sums, sums[first] + room)) - 2
@@ -189,7 +226,7 @@ def pieces(text: str | None, limit: int, overlap: int) -> list[tuple[int, int, i
             window = [i for i in range(first, last + 1) if shared + sums[i + 1] - sums[first] >= least] or [last]
             last = max(window, key=lambda i: (deep[i] + FAVOUR[own[i][3]], i))
         end = own[last][1]
-        out.append((start, end, estimate(text, start, end)))
+        out.append((start, end, costs.of(start, end)))
         first = last + 1
         if first >= len(own):
             break
@@ -200,7 +237,7 @@ def pieces(text: str | None, limit: int, overlap: int) -> list[tuple[int, int, i
             begin, held = own[k][0], held + own[k][2]
             k -= 1
         if begin == own[first][0] and own[last][3] != CHARACTER and not OPENING.match(text[own[last][0] :]):
-            for s, _, c in reversed(costed(text, own[last][0], own[last][1])):
+            for s, _, c in reversed(costs.within(own[last][0], own[last][1])):
                 if held + c > overlap or s <= out[-1][0]:
                     break
                 held += c
