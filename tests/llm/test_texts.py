@@ -148,7 +148,7 @@ def test_structure_is_kept():
 
 
 SENTENCES = [
-    ("One. Two.", ["One.", "Two."]), ("See Dr. Smith vs. 3.5 others. Next.", ["See Dr. Smith vs. 3.5 others.", "Next."]), ("Cats, dogs, etc. We go.", ["Cats, dogs, etc.", "We go."]), ("He said “Stop. Now.” and left. Then.", ["He said “Stop. Now.” and left.", "Then."]),
+    ("One. Two.", ["One.", "Two."]), ("See Dr. Smith vs. 3.5 others. Next.", ["See Dr. Smith vs. 3.5 others.", "Next."]), ("It takes 3 ms. The rest.", ["It takes 3 ms.", "The rest."]), ("Ms. Smith came. He left.", ["Ms. Smith came.", "He left."]), ("Cats, dogs, etc. We go.", ["Cats, dogs, etc.", "We go."]), ("He said “Stop. Now.” and left. Then.", ["He said “Stop. Now.” and left.", "Then."]),
     ("“Is it?” asks he. Yes.", ["“Is it?” asks he.", "Yes."]), ("It ends.\n\nno stop\n\nNew.", ["It ends.", "no stop", "New."]), ("hard\nwrapped line. More", ["hard\nwrapped line.", "More"]), ("(All is skipped.) Next.", ["(All is skipped.)", "Next."]),
     ("他来了。你好吗？“好。”然后走。", ["他来了。", "你好吗？", "“好。”然后走。"]), ("ระบบทำงาน 35 วินาที ห้ามแก้ไข", ["ระบบทำงาน 35 วินาที", "ห้ามแก้ไข"]), ("यह है। वह भी।", ["यह है।", "वह भी।"]), ("Nach z. B. 3 d. h. etwa 4. Dann.", ["Nach z. B. 3 d. h. etwa 4.", "Dann."]),
     ("tides.v2.toml is finished. v1.2.3 too.", ["tides.v2.toml is finished.", "v1.2.3 too."]), ("a task.Note that. Ok", ["a task.", "Note that.", "Ok"]), ("", []), (" \n\n ", []), ("?!", ["?!"]),
