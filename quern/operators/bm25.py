@@ -29,15 +29,21 @@ class Index:
 
 
 def build(chunks: DataFrame, text: Column, key: str = "id", analyzer: Analyzer = Analyzer()) -> Index:
-    """Index distinct (key, text); texts without terms count in N and in the average length."""
-    counted = chunks.select(F.col(key).alias("chunk_id"), analyzer.terms(F.coalesce(text, F.lit(""))).alias("terms")).where("chunk_id is not null")
-    counted = counted.groupBy("chunk_id").agg(F.max("terms").alias("terms"))
-    lengths = counted.select("chunk_id", F.size("terms").alias("dl"))
-    postings = counted.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    """Index (key, text); texts without terms count in N and in the average length.
+
+    Rows of one key count once: they are taken to be repeats, so their counts are divided by their number. Only
+    terms and keys are shuffled, never texts.
+    """
+    terms = chunks.select(F.col(key).alias("chunk_id"), analyzer.terms(F.coalesce(text, F.lit(""))).alias("terms")).where("chunk_id is not null")
+    lengths = terms.groupBy("chunk_id").agg(F.max(F.size("terms")).alias("dl"), F.count("*").alias("rows"))
+    counts = terms.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("n"))
+    repeated = lengths.where(F.col("rows") > 1).select("chunk_id", "rows")
+    postings = counts.join(small_side(repeated), "chunk_id", "left").select("term", "chunk_id", F.ceil(F.col("n") / F.coalesce("rows", F.lit(1))).alias("tf"))
+    lengths = lengths.select("chunk_id", "dl")
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).select("n", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    terms = df.join(F.broadcast(stats), F.lit(True)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(postings, lengths, terms, stats)
+    idf = df.join(F.broadcast(stats), F.lit(True)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return Index(postings, lengths, idf, stats)
 
 
 def search(index: Index, queries: DataFrame, k: int, analyzer: Analyzer = Analyzer(), k1: float = 1.2, b: float = 0.75, keep: DataFrame | None = None) -> DataFrame:

@@ -93,10 +93,18 @@ def evidence_runs(sentences: list[tuple[int, int]], numbers: Iterable[int]) -> l
 
 
 def stratified_split(items: DataFrame, dev_fraction: float, seed: int = 0) -> DataFrame:
-    """Items with split dev or test: of every question type the first round(n * dev_fraction) in seeded hash order are dev."""
-    w = Window.partitionBy("question_type").orderBy(seeded("id", seed), "id")
-    n = items.groupBy("question_type").agg(F.bround(F.count("*") * F.lit(dev_fraction), 0).cast("long").alias("n_dev"))
-    return items.withColumn("nth", F.row_number().over(w)).join(F.broadcast(n), "question_type").withColumn("split", F.when(F.col("nth") <= F.col("n_dev"), "dev").otherwise("test")).drop("nth", "n_dev")
+    """Items with split dev or test: of every question type the first round(n * dev_fraction) in seeded order are dev.
+
+    Places are counted per range of the order and within it, so no task orders a whole type.
+    """
+    own = items.withColumn("h", seeded("id", seed)).withColumn("lane", F.substring("h", 1, 2))
+    lanes = own.groupBy("question_type", "lane").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("question_type").orderBy("lane")) - F.col("n")
+    n_dev = F.bround(F.sum("n").over(Window.partitionBy("question_type")) * F.lit(dev_fraction), 0)
+    lanes = lanes.select("question_type", "lane", before.alias("before"), n_dev.alias("n_dev"))
+    nth = F.row_number().over(Window.partitionBy("question_type", "lane").orderBy("h", "id"))
+    placed = own.withColumn("nth", nth).join(lanes, ["question_type", "lane"])
+    return placed.withColumn("split", F.when(F.col("before") + F.col("nth") <= F.col("n_dev"), "dev").otherwise("test")).drop("nth", "n_dev", "h", "lane", "before")
 
 
 def shuffled_split(items: DataFrame, dev_fraction: float, seed: int = 0) -> DataFrame:

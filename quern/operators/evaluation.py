@@ -7,7 +7,7 @@ import statistics
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import overlap
@@ -48,8 +48,10 @@ def ranking_metrics(ranking: DataFrame, labels: DataFrame, evidence: DataFrame,
     top = ranking.groupBy("item_id", "chunk_id").agg(F.min("rank").alias("rank")).where(F.col("rank") <= most)
     hits = top.join(relevant, ["item_id", "chunk_id"], "left_semi").groupBy("item_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
     span_rank = labels.join(top, ["item_id", "chunk_id"]).groupBy("item_id", "span").agg(F.min("rank").alias("r")).groupBy("item_id").agg(F.collect_list("r").alias("span_ranks"))
-    # Documents in order of first appearance; the list is as long as the ranking.
-    first = ranking.groupBy("item_id", "document_id").agg(F.min("rank").alias("r")).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "document_id"))), lambda x: x["document_id"]).alias("docs"))
+    # Documents in order of first appearance, as many as the largest k; limited before the shuffle.
+    w = Window.partitionBy("item_id").orderBy("r", "document_id")
+    seen = ranking.groupBy("item_id", "document_id").agg(F.min("rank").alias("r"))
+    first = seen.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "document_id"))), lambda x: x["document_id"]).alias("docs"))
     wanted = evidence.groupBy("item_id").agg(F.collect_set("document_id").alias("rel_docs"))
     rows = total.join(n_relevant, "item_id", "left").join(hits, "item_id", "left").join(span_rank, "item_id", "left").join(first, "item_id", "left").join(wanted, "item_id")
     none = F.array().cast("array<int>")
@@ -80,16 +82,22 @@ def metric_means(metrics: DataFrame, types: DataFrame, names: tuple[str, ...]) -
 
 
 def latency(values: DataFrame, group: str, value: str) -> DataFrame:
-    """mean, p50 (upper median) and p95 (the value at index int(0.95 n) - 1) of every group, by place and not interpolated."""
-    from pyspark.sql import Window
-
-    # Places by equal values first, so that a group is never held in one task as a whole.
-    counts = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    total = counts.groupBy(group).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
-    w = Window.partitionBy(group).orderBy(value)
-    placed = counts.withColumn("upto", F.sum("c").over(w)).join(F.broadcast(total), group)
-    at50, at95 = F.floor(F.col("n") / 2), F.greatest(F.floor(F.col("n") * 0.95) - 1, F.lit(0))
-    return placed.groupBy(group).agg(F.round(F.max("mean"), 6).alias("mean"), F.min(F.when(F.col("upto") > at50, F.col(value))).alias("p50"), F.min(F.when(F.col("upto") > at95, F.col(value))).alias("p95"), F.max("n").alias("n"))
+    """mean, p50 (upper median) and p95 (the value at index int(0.95 n) - 1) of every group, by place and not interpolated.
+
+    A group is cut into ranges of about equal counts; only the ranges that hold the two places are ordered,
+    so no task orders a whole group.
+    """
+    own = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    edges = own.groupBy("g").agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000).alias("edges"), F.count("*").alias("n"), F.avg("v").alias("mean"))
+    ranged = own.join(F.broadcast(edges.select("g", "edges")) if edges.count() <= 10_000 else edges.select("g", "edges"), "g").select("g", "v", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("range"))
+    counts = ranged.groupBy("g", "range", "v").agg(F.count("*").alias("c"))
+    sums = counts.groupBy("g", "range").agg(F.sum("c").alias("rc")).withColumn("before", F.sum("rc").over(Window.partitionBy("g").orderBy("range")) - F.col("rc"))
+    places = sums.join(edges.select("g", "n", "mean"), "g").withColumns({"at50": F.floor(F.col("n") / 2), "at95": F.greatest(F.floor(F.col("n") * 0.95) - 1, F.lit(0))})
+    holds = lambda p: (F.col("before") <= F.col(p)) & (F.col(p) < F.col("before") + F.col("rc"))
+    wanted = places.where(holds("at50") | holds("at95"))
+    upto = counts.join(wanted, ["g", "range"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("g", "range").orderBy("v")))
+    least = lambda p: F.min(F.when(holds(p) & (F.col("upto") > F.col(p)), F.col("v")))
+    return upto.groupBy(F.col("g").alias(group)).agg(F.round(F.max("mean"), 6).alias("mean"), least("at50").alias("p50"), least("at95").alias("p95"), F.max("n").alias("n"))
 
 
 def interval(values: list[float], samples: int = 2000, seed: int = 0) -> tuple[float, float]:
