@@ -54,11 +54,14 @@ def usable(chunks: DataFrame, dims: int) -> DataFrame:
 
 
 def classes(vectors: DataFrame, keep: int) -> DataFrame:
-    """(model, cid, ids, vec): one row per distinct vector, with its first ``keep`` ids; cid is the first."""
+    """(model, cid, ids, vec): one row per distinct vector, with its first ``keep`` ids; cid is a number.
+
+    The numbers hold once the result is checkpointed.
+    """
     w = Window.partitionBy("model", "hash", "vec").orderBy("id")
     first = vectors.withColumn("hash", F.xxhash64("vec")).withColumn("nth", F.dense_rank().over(w)).where(F.col("nth") <= keep)
     ids = first.groupBy("model", "hash", "vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return ids.select("model", F.element_at("ids", 1).alias("cid"), "ids", "vec")
+    return ids.select("model", F.monotonically_increasing_id().alias("cid"), "ids", "vec")
 
 
 def fitted_router(distinct: DataFrame, dims: int, k: int, floor: float | None, target: float) -> Router:
@@ -68,8 +71,8 @@ def fitted_router(distinct: DataFrame, dims: int, k: int, floor: float | None, t
     rows = min(SAMPLE_ROWS, 128 * parts)
     # A hash threshold keeps about twice the rows wanted, so that only those are sorted.
     share = min(1.0, 2 * rows / max(1, n))
-    h = F.xxhash64("cid", F.lit("sample"))
-    some = distinct.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(np.ceil(share * (1 << 20))))).select("vec", h.alias("h"), "cid").orderBy("h", "cid").limit(rows)
+    h = F.xxhash64("vec", F.lit("sample"))
+    some = distinct.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(np.ceil(share * (1 << 20))))).select("vec", h.alias("h")).orderBy("h", "vec").limit(rows)
     v = np.frombuffer(b"".join(bytes(r["vec"]) for r in some.collect()), "<f4").reshape(-1, dims) if parts > 1 else np.zeros((0, dims), "<f4")
     return fit(v, parts, k, floor, target)
 
@@ -87,7 +90,7 @@ def _routed(distinct: DataFrame, router: Router, dims: int) -> DataFrame:
             for j in range(parts.shape[1]):
                 yield pd.DataFrame({"model": pdf["model"], "part": parts[:, j].astype("int32"), "role": np.int8(j > 0), "cid": pdf["cid"], "half": half})
 
-    return distinct.select("model", "cid", "vec").mapInPandas(route, "model string, part int, role byte, cid string, half binary")
+    return distinct.select("model", "cid", "vec").mapInPandas(route, "model string, part int, role byte, cid long, half binary")
 
 
 def _blocks(routed: DataFrame) -> DataFrame:
@@ -113,8 +116,11 @@ def _blocks(routed: DataFrame) -> DataFrame:
     return rows.select("model", "part", F.col("at.d").cast("int").alias("block_d"), F.col("at.q").cast("int").alias("block_q"), (stored & (F.col("at.d") == F.col("my_d"))).alias("stored"), (F.col("at.q") == F.col("my_q")).alias("asks"), "cid", "half")
 
 
+NEAR = "model string, qc long, near array<struct<sim:float,dc:long>>"
+
+
 def _candidates(routed: DataFrame, dims: int, k: int, floor: float | None) -> DataFrame:
-    """(model, qc, dc, sim): of each query in each block its k best, or those of them that may reach ``floor``."""
+    """(model, qc, near): of each query in each block its k best, or those of them that may reach ``floor``."""
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         v = np.frombuffer(b"".join(rows["half"]), "<f2").reshape(-1, dims).astype(np.float32)
@@ -122,7 +128,7 @@ def _candidates(routed: DataFrame, dims: int, k: int, floor: float | None) -> Da
         stored = np.flatnonzero(rows["stored"].to_numpy(bool))
         asks = np.flatnonzero(rows["asks"].to_numpy(bool))
         model = rows["model"].iloc[0] if len(rows) else ""
-        d, out = v[stored], []
+        d, names, near = v[stored], [], []
         where = np.full(len(v), -1)
         where[stored] = np.arange(len(stored))
         for a in range(0, len(asks) if len(stored) else 0, TILE):
@@ -130,24 +136,25 @@ def _candidates(routed: DataFrame, dims: int, k: int, floor: float | None) -> Da
             s = v[q] @ d.T
             own = where[q]
             s[np.flatnonzero(own >= 0), own[own >= 0]] = -2
-            best = min(k, s.shape[1])
             if floor is not None:
-                near = s >= floor - HALF_ERROR
-                many = np.flatnonzero(near.sum(1) > 2 * k)
-                for i in many:  # more than can count: the 2k best
-                    near[i] = False
-                    near[i, np.argpartition(-s[i], 2 * k - 1)[: 2 * k]] = True
-                i, j = np.nonzero(near)
+                reach = s >= floor - HALF_ERROR
+                for i in np.flatnonzero(reach.sum(1) > 2 * k):  # more than can count: the 2k best
+                    reach[i] = False
+                    reach[i, np.argpartition(-s[i], 2 * k - 1)[: 2 * k]] = True
+                i, j = np.nonzero(reach)
             else:
+                best = min(k, s.shape[1])
                 j = np.argpartition(-s, best - 1, 1)[:, :best] if best < s.shape[1] else np.tile(np.arange(best), (len(q), 1))
                 i, j = np.repeat(np.arange(len(q)), j.shape[1]), j.ravel()
             sim = s[i, j]
             keep = sim > -2
-            out.append((q[i[keep]], stored[j[keep]], sim[keep]))
-        i, j, sim = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32))
-        return pd.DataFrame({"model": model, "qc": cid[i], "dc": cid[j], "sim": sim.astype(np.float32)})
+            i, pairs = i[keep], list(zip(sim[keep].tolist(), cid[stored[j[keep]]].tolist()))
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+            names += cid[q[i[first]]].tolist() if len(i) else []
+            near += [pairs[x:y] for x, y in zip(first, [*first[1:], len(pairs)])]
+        return pd.DataFrame({"model": pd.Series([model] * len(names), dtype=object), "qc": pd.Series(names, dtype="int64"), "near": pd.Series(near, dtype=object)})
 
-    return _blocks(routed).groupBy("model", "part", "block_d", "block_q").applyInPandas(match, "model string, qc string, dc string, sim float")
+    return _blocks(routed).groupBy("model", "part", "block_d", "block_q").applyInPandas(match, NEAR)
 
 
 def _cosine(a: str, b: str, dims: int):
@@ -174,21 +181,26 @@ def neighbours(chunks: DataFrame, k: int = 10, floor: float | None = None, dims:
     router = fitted_router(distinct, dims, k, floor, recall or (0.95 if floor is None else 0.998))
     found = _candidates(_routed(distinct, router, dims), dims, k, floor)
     if floor is not None:  # few pairs: both directions, then the exact cosine
+        pair = found.select("model", "qc", F.explode("near.dc").alias("dc"))
         ways = F.explode(F.array(F.struct(F.col("qc").alias("qc"), F.col("dc").alias("dc")), F.struct(F.col("dc").alias("qc"), F.col("qc").alias("dc")))).alias("way")
-        found = found.select("model", ways).select("model", "way.*").distinct()
-        full = distinct.select("model", "cid", "vec")
-        found = found.join(full.withColumnsRenamed({"cid": "qc", "vec": "qv"}), ["model", "qc"]).join(full.withColumnsRenamed({"cid": "dc", "vec": "dv"}), ["model", "dc"])
-        found = found.select("model", "qc", "dc", _cosine("qv", "dv", dims).alias("sim")).where(F.col("sim") >= floor)
+        pair = pair.select("model", ways).select("model", "way.*").distinct()
+        full = distinct.select("cid", "vec")
+        pair = pair.join(full.toDF("qc", "qv"), "qc").join(full.toDF("dc", "dv"), "dc")
+        exact = pair.select("model", "qc", "dc", _cosine("qv", "dv", dims).alias("sim")).where(F.col("sim") >= floor)
+        # All that tie with the k-th stay, so that ties are settled by id below.
+        best = Window.partitionBy("qc").orderBy(F.desc("sim"))
+        found = exact.withColumn("nth", F.rank().over(best)).where(F.col("nth") <= k).select("model", "qc", "dc", "sim")
     else:
-        found = found.select("model", "qc", "dc", F.col("sim").cast("double").alias("sim"))
-    best = Window.partitionBy("model", "qc").orderBy(F.desc("sim"), "dc")
-    found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
+        # A query has one list per probe and block; they are joined, and the best kept with all that tie.
+        merged = found.groupBy("model", "qc").agg(F.reverse(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near"))))).alias("near"))
+        last = F.element_at("near", F.least(F.lit(k), F.size("near")))["sim"]
+        found = merged.where(F.size("near") > 0).select("model", "qc", F.explode(F.filter("near", lambda x: x["sim"] >= last)).alias("n")).select("model", "qc", "n.dc", F.col("n.sim").cast("double").alias("sim"))
     # The ids behind the classes. What has several ids is rare; still every neighbour's ids come by a join.
-    ids = distinct.select("model", F.col("cid").alias("dc"), F.col("ids").alias("d_ids"))
-    lists = found.join(ids, ["model", "dc"]).groupBy("model", "qc").agg(F.collect_list(F.struct((-F.col("sim")).alias("d"), F.col("d_ids").alias("ids"))).alias("near"))
+    ids = distinct.select(F.col("cid").alias("dc"), F.col("ids").alias("d_ids"))
+    lists = found.join(ids, "dc").groupBy("qc").agg(F.collect_list(F.struct((-F.col("sim")).alias("d"), F.col("d_ids").alias("ids"))).alias("near"))
     own = distinct.select("model", F.col("cid").alias("qc"), F.col("ids").alias("q_ids"))
     # Without neighbours at or above the floor, a class of one vector yields no row: an inner join loses nothing then.
-    rows = own.join(lists, ["model", "qc"], "left").where(F.col("near").isNotNull() | (F.size("q_ids") > 1))
+    rows = own.join(lists, "qc", "left").where(F.col("near").isNotNull() | (F.size("q_ids") > 1))
     near = F.coalesce("near", F.array().cast("array<struct<d:double,ids:array<string>>>"))
     listed = "array<struct<d:double,id:string>>"
     flat = F.flatten(F.transform(near, lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("id"))))).cast(listed)
