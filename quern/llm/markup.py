@@ -37,7 +37,7 @@ COMMANDS = "cite|citep|citet|ref|eqref|pageref|label|footnote|emph|textbf|textit
 MATH = "frac|dfrac|sqrt|sum|prod|int|cdot|cdots|ldots|times|div|pm|le|leq|ge|geq|neq|ne|approx|sim|equiv|infty|partial|nabla|alpha|beta|gamma|delta|epsilon|lambda|mu|sigma|theta|omega|pi|phi|rho|tau|log|ln|exp|min|max|lim|to|in|left|right|mathbf|mathrm|hat|bar|vec|quad"
 
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[^<>\n]*|\s*/)?)>")
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|^.{0,80}?-->", re.S)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|\A[^<\n]{0,80}-->[ ]*$", re.S | re.M)
 ENTITY = re.compile(r"&(?:[a-z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});")
 FENCE = re.compile(r"^[ ]{0,3}(?:```|~~~)[^\n`]*$", re.M)
 DRIVE = re.compile(r"(?<![A-Za-z])[A-Za-z]:\\\S*")
@@ -167,7 +167,7 @@ def kinds_of(held: Held) -> set[str]:
     """The languages whose markup a text carries, code blocks and formulas counting for their delimiters."""
     t, found = held.text, set(held.kinds)
     if "<" in t or "&" in t or "-->" in t:
-        if any(m[2].lower() in TAGS and not (m[2][0].isupper() and t[m.start() - 1 : m.start()].isalnum() and f"</{m[2]}" not in t) for m in TAG.finditer(t)) or "<!--" in t or "-->" in t or any(m[0][1] == "#" or html.unescape(m[0]) != m[0] for m in ENTITY.finditer(t)):
+        if any(m[2].lower() in TAGS and not (m[2][0].isupper() and t[m.start() - 1 : m.start()].isalnum() and f"</{m[2]}" not in t) for m in TAG.finditer(t)) or COMMENT.search(t) or any(m[0][1] == "#" or html.unescape(m[0]) != m[0] for m in ENTITY.finditer(t)):
             found.add("html")
     if ("[" in t or "{" in t or "''" in t or "|" in t or "==" in t) and WIKI.search(t):
         found.add("wiki")

@@ -114,7 +114,7 @@ def test_valley_is_cut():
 
 MARKUP = [
     ("# Title\n\ntext", {"markdown"}), ("Title\n=====\n\ntext", {"markdown"}), ("a **bold** word", {"markdown"}), ("see [x](http://y)", {"markdown"}), ("| a | b |\n|---|---|\n| 1 | 2 |", {"markdown"}), ("> quoted", {"markdown"}),
-    ("```\n<b>x</b> \\emph{y}\n```", {"markdown"}), ("<p>text</p>", {"html"}), ("a &nbsp; b", {"html"}), ("<!-- c --> x", {"html"}), ("<pre>**x**</pre>", {"html"}), ("'''Bold''' is [[linked]]", {"wiki"}), ("== Head ==\n", {"wiki"}),
+    ("```\n<b>x</b> \\emph{y}\n```", {"markdown"}), ("<p>text</p>", {"html"}), ("a &nbsp; b", {"html"}), ("<!-- c --> x", {"html"}), ("note 3 -->\nx", {"html"}), ("so a --> b holds", set()), ("<pre>**x**</pre>", {"html"}), ("'''Bold''' is [[linked]]", {"wiki"}), ("== Head ==\n", {"wiki"}),
     ("{| class=x\n|-\n| a || b\n|}", {"wiki"}), ("{{term|x}}", {"wiki"}), ("\\section{A}\ntext", {"latex"}), ("\\begin{verbatim}\n# x\n\\end{verbatim}", {"latex"}), ("so $x_{1} \\le 3$ holds", {"latex"}), ("cited \\cite{a}", {"latex"}),
     ("Replace <berth-name> with it", set()), ("A List<Cargo> holds", set()), ("[[ -f x.lock ]] must succeed", set()), ("$HOME/x costs $5", set()), ("Use a * wildcard such as *.hl to match", set()), ("C:\\textures\\item\\x.cfg", set()),
     ("5 < 7 and 9 > 7, a == b", set()), ("the snake_case_name of x_y_z", set()), ("~/quay and _cache/ are", set()), ("<|endoftext|> is literal", set()), ("!!!!!! ------ ....", set()), ("", set()), (" \n", set()), ('{"a": 1}', set()),
