@@ -191,8 +191,8 @@ def neighbours(chunks: DataFrame, k: int = 10, floor: float | None = None, dims:
         best = Window.partitionBy("qc").orderBy(F.desc("sim"))
         found = exact.withColumn("nth", F.rank().over(best)).where(F.col("nth") <= k).select("model", "qc", "dc", "sim")
     else:
-        # A query has one list per probe and block; they are joined, and the best kept with all that tie.
-        merged = found.groupBy("model", "qc").agg(F.reverse(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near"))))).alias("near"))
+        # A query has one list per probe and block, without common members; the best are kept with all that tie.
+        merged = found.groupBy("model", "qc").agg(F.sort_array(F.flatten(F.collect_list("near")), asc=False).alias("near"))
         last = F.element_at("near", F.least(F.lit(k), F.size("near")))["sim"]
         found = merged.where(F.size("near") > 0).select("model", "qc", F.explode(F.filter("near", lambda x: x["sim"] >= last)).alias("n")).select("model", "qc", "n.dc", F.col("n.sim").cast("double").alias("sim"))
     # The ids behind the classes. What has several ids is rare; still every neighbour's ids come by a join.
