@@ -32,7 +32,7 @@ from quern.session import checkpointed
 
 #: Bounds of what the driver fits: rows of the sample, parts.
 SAMPLE_ROWS, MOST_PARTS = 65_536, 512
-PART_ROWS = 3_000
+PART_ROWS, PROBE_QUERIES = 3_000, 512
 DATA_BLOCK, QUERY_BLOCK, TILE = 16_384, 32_768, 1_024
 HALF_ERROR = 2e-3  # more than half precision can change a cosine
 
@@ -65,16 +65,52 @@ def classes(vectors: DataFrame, keep: int) -> DataFrame:
 
 
 def fitted_router(distinct: DataFrame, dims: int, k: int, floor: float | None, target: float) -> Router:
-    """Fit on the first rows in hash order: at most SAMPLE_ROWS of them, 128 per part."""
+    """Fit on the first rows in hash order: at most SAMPLE_ROWS of them, 128 per part.
+
+    Without ``floor`` the probes are as many as bring the share ``target`` of true neighbours together: those of
+    PROBE_QUERIES sample rows are found among all rows in one pass.
+    """
     n = distinct.count()
     parts = 1 if n < 2 * PART_ROWS else min(MOST_PARTS, 2 ** round(np.log2(n / PART_ROWS)))
     rows = min(SAMPLE_ROWS, 128 * parts)
     # A hash threshold keeps about twice the rows wanted, so that only those are sorted.
     share = min(1.0, 2 * rows / max(1, n))
     h = F.xxhash64("vec", F.lit("sample"))
-    some = distinct.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(np.ceil(share * (1 << 20))))).select("vec", h.alias("h")).orderBy("h", "vec").limit(rows)
-    v = np.frombuffer(b"".join(bytes(r["vec"]) for r in some.collect()), "<f4").reshape(-1, dims) if parts > 1 else np.zeros((0, dims), "<f4")
-    return fit(v, parts, k, floor, target)
+    some = distinct.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(np.ceil(share * (1 << 20))))).select("model", "vec", h.alias("h")).orderBy("h", "vec", "model").limit(rows)
+    rows = some.collect() if parts > 1 else []
+    v = np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), "<f4").reshape(-1, dims)
+    router = fit(v, parts, k, floor, target)
+    if floor is None and router.parts > 1:
+        asked = v[:PROBE_QUERIES]
+        found = _true_homes(distinct, asked, [r["model"] for r in rows[:PROBE_QUERIES]], router, k)
+        z = asked @ router.weights + router.bias
+        depth = [(z[q] > z[q, p]).sum() + 1 for q, p in found]
+        router.probes = int(np.quantile(depth, target, method="higher"))
+    return router
+
+
+def _true_homes(distinct: DataFrame, asked: np.ndarray, models: list[str], router: Router, k: int) -> list[tuple[int, int]]:
+    """(query, part) of the k nearest rows of each of a few queries, by brute force."""
+    dims = asked.shape[1]
+    names = np.array(models, dtype=object)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v = np.frombuffer(b"".join(pdf["vec"]), "<f4").reshape(-1, dims)
+            s = asked @ v.T
+            s[(names[:, None] != pdf["model"].to_numpy()[None]) | (s > 1 - 1e-6)] = -2
+            best = min(k, s.shape[1])
+            j = np.argpartition(-s, best - 1, 1)[:, :best]
+            q = np.repeat(np.arange(len(asked)), best)
+            sim, home = s[q, j.ravel()], router.homes(v)[j.ravel()]
+            yield pd.DataFrame({"q": q[sim > -2], "sim": sim[sim > -2], "part": home[sim > -2]})
+
+    w = Window.partitionBy("q").orderBy(F.desc("sim"), "part")
+    own = distinct.select("model", "vec").mapInPandas(nearest, "q int, sim float, part int")
+    best = own.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
+    return [(r["q"], r["part"]) for r in best.select("q", "part").collect()]
 
 
 def _routed(distinct: DataFrame, router: Router, dims: int) -> DataFrame:
@@ -171,8 +207,8 @@ def _cosine(a: str, b: str, dims: int):
 def neighbours(chunks: DataFrame, k: int = 10, floor: float | None = None, dims: int = 64, recall: float | None = None) -> DataFrame:
     """model, chunk, neighbour, rank and similarity: of every usable vector its k nearest, or those of them at ``floor`` or above.
 
-    ``recall`` is the share of pairs that the probes must bring together when the router is fitted; by default 0.95
-    of the sample's k nearest neighbours, or 0.998 of pairs whose cosine is ``floor``.
+    ``recall`` is the share of pairs that the probes must bring together; by default 0.95 of true neighbours, or 0.998
+    of pairs whose cosine is ``floor``.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
