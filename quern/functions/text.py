@@ -75,13 +75,11 @@ def stem(word: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct words that are no stop words and have 3 letters or are numbers."""
-    stop = F.array(*map(F.lit, STOP))
-    return F.array_distinct(F.filter(words(text), lambda w: ~F.array_contains(stop, w) & ((F.length(w) > 2) | w.rlike(r"^\p{Nd}+$"))))
+    return F.array_distinct(F.filter(words(text), lambda w: ~w.isin(*STOP) & ((F.length(w) > 2) | w.rlike(r"^\p{Nd}+$"))))
 
 
 def stems(text: Column) -> Column:
-    generic = F.array(*map(F.lit, GENERIC))
-    return F.array_distinct(F.transform(F.filter(content_words(text), lambda w: ~F.array_contains(generic, w)), stem))
+    return F.array_distinct(F.transform(F.filter(content_words(text), lambda w: ~w.isin(*GENERIC)), stem))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.analyzer import Analyzer
+from quern.session import spread
 
 #: Rows of a side that may be broadcast; a query term row is well under 100 bytes.
 SMALL = 200_000
@@ -26,6 +27,7 @@ class Index:
     lengths: DataFrame
     terms: DataFrame
     average: DataFrame
+    kept: tuple[DataFrame, ...] = ()
 
 
 def build(chunks: DataFrame, text: Column, key: str = "id", analyzer: Analyzer = Analyzer()) -> Index:
@@ -34,16 +36,18 @@ def build(chunks: DataFrame, text: Column, key: str = "id", analyzer: Analyzer =
     Rows of one key count once: they are taken to be repeats, so their counts are divided by their number. Only
     terms and keys are shuffled, never texts.
     """
-    terms = chunks.select(F.col(key).alias("chunk_id"), analyzer.terms(F.coalesce(text, F.lit(""))).alias("terms")).where("chunk_id is not null")
-    lengths = terms.groupBy("chunk_id").agg(F.max(F.size("terms")).alias("dl"), F.count("*").alias("rows"))
-    counts = terms.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("n"))
+    own = spread(chunks.select(F.col(key).alias("chunk_id"), F.coalesce(text, F.lit("")).alias("text"))).where("chunk_id is not null")
+    # Texts are analyzed once. What is read several times, by the statistics and by every search, is kept, on disk where memory is short.
+    counts = own.select("chunk_id", F.explode(analyzer.terms(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("n")).persist()
+    rows = own.groupBy("chunk_id").agg(F.count("*").alias("rows"))
+    sums = counts.groupBy("chunk_id").agg(F.sum("n").alias("n"))
+    lengths = rows.join(sums, "chunk_id", "left").select("chunk_id", "rows", F.ceil(F.coalesce("n", F.lit(0)) / F.col("rows")).alias("dl")).persist()
     repeated = lengths.where(F.col("rows") > 1).select("chunk_id", "rows")
     postings = counts.join(small_side(repeated), "chunk_id", "left").select("term", "chunk_id", F.ceil(F.col("n") / F.coalesce("rows", F.lit(1))).alias("tf"))
-    lengths = lengths.select("chunk_id", "dl")
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).select("n", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(stats), F.lit(True)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(postings, lengths, idf, stats)
+    return Index(postings, lengths.select("chunk_id", "dl"), idf, stats, (counts, lengths))
 
 
 def search(index: Index, queries: DataFrame, k: int, analyzer: Analyzer = Analyzer(), k1: float = 1.2, b: float = 0.75, keep: DataFrame | None = None) -> DataFrame:
@@ -88,10 +92,8 @@ class Registry:
         if key not in self._kept or self._kept[key][0] != now:
             old = self._kept.pop(key, None)
             if old:
-                for df in (old[1].postings, old[1].lengths, old[1].terms):
+                for df in old[1].kept:
                     df.unpersist()
             index = build(chunks, text, analyzer=analyzer)
-            for df in (index.postings, index.lengths, index.terms):
-                df.persist()
             self._kept[key] = (now, index)
         return self._kept[key][1]

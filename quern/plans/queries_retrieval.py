@@ -23,7 +23,7 @@ SQL_SCORED = "scored as (select query_id, chunk_id, round(sum(idf * tf * 2.2 / (
 
 
 def indexed(spark, d) -> bm25.Index:
-    chunks = table(spark, d, "chunks").select("id", "section", "text").distinct()
+    chunks = table(spark, d, "chunks").select("id", "section", "text")
     return bm25.build(chunks, T.embedding_input(F.lit(None).cast("string"), F.col("section"), F.coalesce("text", F.lit(""))))
 
 

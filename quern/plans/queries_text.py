@@ -10,7 +10,7 @@ from quern.functions.analyzer import STOPWORDS, Analyzer
 from quern.functions.tokens import token_estimate
 from quern.operators import chunking, generation, ingest
 from quern.plans.catalogue import query
-from quern.session import table
+from quern.session import spread, table
 
 # Parts of SQL that several queries share.
 SQL_STOP = "['" + "','".join(T.STOP) + "']"
@@ -54,7 +54,7 @@ SQL_TERMS = "list_concat(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'
 @query(f"select doc_id, len({SQL_TERMS}) as terms, len(list_distinct({SQL_TERMS})) as distinct_terms from documents where text is not null")
 def analyzed_documents(spark, d):
     terms = Analyzer().terms(F.col("text"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", terms.alias("t")).select("doc_id", F.size("t").alias("terms"), F.size(F.array_distinct("t")).alias("distinct_terms"))
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", terms.alias("t")).select("doc_id", F.size("t").alias("terms"), F.size(F.array_distinct("t")).alias("distinct_terms"))
 
 
 @query(f"with t as (select doc_id, unnest({SQL_TERMS}) as term from documents where text is not null) select term, count(distinct doc_id) as df, count(*) as cf from t group by term")
@@ -157,7 +157,7 @@ def document_chunks(spark, d):
 def chunk_invariants(spark, d):
     """How many pieces of all documents break an invariant: none."""
     docs = table(spark, d, "documents").select("id", "text", "source_type")
-    cut = chunking.chunk_documents(docs)
+    cut = chunking.chunk_documents(docs).persist()  # read twice, for parents and for children
     ups, downs = chunking.parent_rows(cut), chunking.child_rows(cut)
     whole = docs.select(F.col("id").alias("document_id"), F.col("text").alias("whole"))
     both = downs.join(ups.select(F.col("id").alias("parent_id"), F.col("start_char").alias("a"), F.col("end_char").alias("b"), F.col("token_count").alias("up")), "parent_id").join(whole, "document_id")

@@ -37,3 +37,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(scanned: DataFrame) -> DataFrame:
+    """A scan for work that is heavy per row: spread over all cores where its files give fewer partitions.
+
+    Only for plans without a shuffle. A scan of many files or of large ones is left as it is.
+    """
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    return scanned.repartition(cores) if scanned.rdd.getNumPartitions() < cores else scanned
