@@ -10,12 +10,14 @@ queries meet vectors by matrix products, block by block.
   applied on the map side. Members beyond them get the class's first ids as neighbours.
 * A part that holds too many vectors or gets too many queries is cut into blocks of rows, each
   pair of blocks being one task, so a hot part makes more tasks, not larger ones.
-* Only half-precision vectors are shuffled to the parts. With ``floor`` the pairs are checked
-  again with the full vectors in double precision.
+* The vectors are shuffled to the parts as they are stored. Products in single precision leave
+  those that may be among the k best within ``FLOAT_ERROR``; cosines in double precision cut them to k.
+* Classes are numbered in the order of their first ids, so that ties are cut by id in every block.
+* With ``floor`` a pair is found from either side: what a part stores also meets the queries sent there.
 
 Defined results: unusable vectors (null, of another length, all zero, with NaN or infinite
 values) and rows with a null id or model are in no result. Rows repeated exactly count once; of
-several vectors of one id each counts. Cosine similarity; ties go to the smaller id.
+several vectors of one id each counts. Cosine similarity to 9 digits; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from quern.llm.router import Router, fit
 from quern.session import checkpointed
@@ -34,34 +37,43 @@ from quern.session import checkpointed
 SAMPLE_ROWS, MOST_PARTS = 65_536, 512
 PART_ROWS, PROBE_QUERIES = 3_000, 512
 DATA_BLOCK, QUERY_BLOCK, TILE = 16_384, 32_768, 1_024
-HALF_ERROR = 2e-3  # more than half precision can change a cosine
+FLOAT_ERROR = 4e-6  # more than single precision can change a cosine
+DIGITS = 9  # of a cosine; beyond them vectors tie
+
+
+def units(vec: pd.Series, dims: int) -> np.ndarray:
+    """Unit vectors in double precision of stored ones, float32 or float64 bytes."""
+    raw = b"".join(vec)
+    v = np.frombuffer(raw, "<f8" if len(raw) == 8 * dims * len(vec) else "<f4").reshape(-1, dims).astype(float)
+    with np.errstate(all="ignore"):
+        v = v / np.abs(v).max(1, keepdims=True)  # before squaring, so that no length overflows
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def usable(chunks: DataFrame, dims: int) -> DataFrame:
-    """(id, model, vec): unit vectors as little-endian float32 bytes."""
+    """(id, model, vec): the vectors as little-endian bytes of their own precision."""
     good = F.col("id").isNotNull() & F.col("embedding_model").isNotNull() & (F.size("embedding") == dims)
+    single = chunks.schema["embedding"].dataType.elementType == FloatType()
 
-    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            v = np.array([np.asarray(x, np.float64) for x in pdf["embedding"]]).reshape(-1, dims)
-            with np.errstate(all="ignore"):
-                v = v / np.abs(v).max(1, keepdims=True)  # before squaring, so that no length overflows
-                v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("<f4")
-            ok = np.isfinite(v).all(1)
-            yield pd.DataFrame({"id": pdf["id"][ok], "model": pdf["embedding_model"][ok], "vec": [x.tobytes() for x in v[ok]]})
+            v = np.array([np.asarray(x, np.float64) for x in pdf["embedding"]]).reshape(-1, dims) + 0.0  # no negative zeros
+            vec = pd.Series([x.tobytes() for x in v.astype("<f4" if single else "<f8")], index=pdf.index, dtype=object)
+            ok = np.isfinite(units(vec, dims)).all(1)
+            yield pd.DataFrame({"id": pdf["id"][ok], "model": pdf["embedding_model"][ok], "vec": vec[ok]})
 
-    return chunks.select("id", "embedding_model", "embedding").where(good).mapInPandas(unit, "id string, model string, vec binary")
+    return chunks.select("id", "embedding_model", "embedding").where(good).mapInPandas(stored, "id string, model string, vec binary")
 
 
 def classes(vectors: DataFrame, keep: int) -> DataFrame:
-    """(model, cid, ids, vec): one row per distinct vector, with its first ``keep`` ids; cid is a number.
+    """(model, cid, ids, vec): one row per distinct vector, with its first ``keep`` ids; cid is a number in the order of the first ids.
 
     The numbers hold once the result is checkpointed.
     """
     w = Window.partitionBy("model", "hash", "vec").orderBy("id")
     first = vectors.withColumn("hash", F.xxhash64("vec")).withColumn("nth", F.dense_rank().over(w)).where(F.col("nth") <= keep)
     ids = first.groupBy("model", "hash", "vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return ids.select("model", F.monotonically_increasing_id().alias("cid"), "ids", "vec")
+    return ids.orderBy(F.col("ids")[0], "model", "vec").select("model", F.monotonically_increasing_id().alias("cid"), "ids", "vec")
 
 
 def fitted_router(distinct: DataFrame, dims: int, k: int, floor: float | None, target: float) -> Router:
@@ -78,7 +90,7 @@ def fitted_router(distinct: DataFrame, dims: int, k: int, floor: float | None, t
     h = F.xxhash64("vec", F.lit("sample"))
     some = distinct.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(np.ceil(share * (1 << 20))))).select("model", "vec", h.alias("h")).orderBy("h", "vec", "model").limit(rows)
     rows = some.collect() if parts > 1 else []
-    v = np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), "<f4").reshape(-1, dims)
+    v = units([bytes(r["vec"]) for r in rows], dims).astype("<f4")
     router = fit(v, parts, k, floor, target)
     if floor is None and router.parts > 1:
         asked = v[:PROBE_QUERIES]
@@ -98,7 +110,7 @@ def _true_homes(distinct: DataFrame, asked: np.ndarray, models: list[str], route
         for pdf in batches:
             if not len(pdf):
                 continue
-            v = np.frombuffer(b"".join(pdf["vec"]), "<f4").reshape(-1, dims)
+            v = units(pdf["vec"], dims).astype("<f4")
             s = asked @ v.T
             s[(names[:, None] != pdf["model"].to_numpy()[None]) | (s > 1 - 1e-6)] = -2
             best = min(k, s.shape[1])
@@ -114,23 +126,22 @@ def _true_homes(distinct: DataFrame, asked: np.ndarray, models: list[str], route
 
 
 def _routed(distinct: DataFrame, router: Router, dims: int) -> DataFrame:
-    """(model, part, role, cid, half): role 0 stores a vector, and asks there, its home; role 1 only asks."""
+    """(model, part, role, cid, vec): role 0 stores a vector, and asks there, its home; role 1 only asks."""
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            v = np.frombuffer(b"".join(pdf["vec"]), "<f4").reshape(-1, dims)
+            v = units(pdf["vec"], dims).astype("<f4")
             parts = router.routes(v)
-            half = np.array([x.tobytes() for x in v.astype("<f2")], dtype=object)
             for j in range(parts.shape[1]):
-                yield pd.DataFrame({"model": pdf["model"], "part": parts[:, j].astype("int32"), "role": np.int8(j > 0), "cid": pdf["cid"], "half": half})
+                yield pd.DataFrame({"model": pdf["model"], "part": parts[:, j].astype("int32"), "role": np.int8(j > 0), "cid": pdf["cid"], "vec": pdf["vec"]})
 
-    return distinct.select("model", "cid", "vec").mapInPandas(route, "model string, part int, role byte, cid long, half binary")
+    return distinct.select("model", "cid", "vec").mapInPandas(route, "model string, part int, role byte, cid long, vec binary")
 
 
 def _blocks(routed: DataFrame) -> DataFrame:
-    """Copies of the rows for each pair of blocks, as block_d, block_q and the roles ``stored`` and ``asks`` in it."""
+    """Copies of the rows for each pair of blocks, as block_d, block_q and the roles ``stored``, ``asks`` and ``visits`` (asks, stored elsewhere) in it."""
     counts = routed.groupBy("model", "part").agg(F.count_if(F.col("role") == 0).alias("d"), F.count("*").alias("q"))
     # Only parts above a block are cut; their number is at most rows / DATA_BLOCK or QUERY_BLOCK, probes included.
     cut = counts.where((F.col("d") > DATA_BLOCK) | (F.col("q") > QUERY_BLOCK)).select("model", "part", F.ceil(F.col("d") / DATA_BLOCK).cast("int").alias("nd"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("nq"))
@@ -138,7 +149,7 @@ def _blocks(routed: DataFrame) -> DataFrame:
     n = cut.count()
     stored = F.col("role") == 0
     if not n:
-        return routed.select("model", "part", F.lit(0).alias("block_d"), F.lit(0).alias("block_q"), stored.alias("stored"), F.lit(True).alias("asks"), "cid", "half")
+        return routed.select("model", "part", F.lit(0).alias("block_d"), F.lit(0).alias("block_q"), stored.alias("stored"), F.lit(True).alias("asks"), (~stored).alias("visits"), "cid", "vec")
     rows = routed.join(F.broadcast(cut) if n < 100_000 else cut, ["model", "part"], "left")
     nd, nq = F.coalesce("nd", F.lit(1)), F.coalesce("nq", F.lit(1))
     h = F.xxhash64("cid")
@@ -149,61 +160,86 @@ def _blocks(routed: DataFrame) -> DataFrame:
         F.when(stored, F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: F.struct(F.col("my_d").alias("d"), q.cast("long").alias("q")))).otherwise(F.array().cast("array<struct<d:bigint,q:bigint>>")),
     )
     rows = rows.withColumn("at", F.explode(places))
-    return rows.select("model", "part", F.col("at.d").cast("int").alias("block_d"), F.col("at.q").cast("int").alias("block_q"), (stored & (F.col("at.d") == F.col("my_d"))).alias("stored"), (F.col("at.q") == F.col("my_q")).alias("asks"), "cid", "half")
+    return rows.select("model", "part", F.col("at.d").cast("int").alias("block_d"), F.col("at.q").cast("int").alias("block_q"), (stored & (F.col("at.d") == F.col("my_d"))).alias("stored"), (F.col("at.q") == F.col("my_q")).alias("asks"), (~stored & (F.col("at.q") == F.col("my_q"))).alias("visits"), "cid", "vec")
+
+
+NEAR = "model string, qc long, near array<struct<d:double,dc:long>>"
 
 
-NEAR = "model string, qc long, near array<struct<sim:float,dc:long>>"
+def _cut(sim: np.ndarray, k: int) -> np.ndarray:
+    """Which entries of each row are its k largest; of equal ones the first. What is -inf is none."""
+    best = min(k, sim.shape[1])
+    kth = -np.partition(-sim, best - 1, 1)[:, best - 1 : best]
+    more, tie = sim > kth, (sim == kth) & (sim > -np.inf)
+    return more | (tie & (np.cumsum(tie, 1) <= k - more.sum(1, keepdims=True)))
+
+
+def nearest(q: np.ndarray, d: np.ndarray, own: np.ndarray, k: int, floor: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of q, rows of d and cosines of the k nearest of d to each of q, or those of them at ``floor`` or above.
+
+    Of rows that tie in ``DIGITS`` digits the first of d count. ``own`` is the row of d that is the query itself, or -1.
+    """
+    if not len(d):
+        return
+    dt = np.ascontiguousarray(d.astype(np.float32).T)
+    best = min(k, len(d))
+    for a in range(0, len(q), TILE):
+        u, mine = q[a : a + TILE], own[a : a + TILE]
+        self_ = np.flatnonzero(mine >= 0)
+        s = -u.astype(np.float32) @ dt
+        s[self_, mine[self_]] = 4
+        most = np.partition(s, best - 1, 1)[:, best - 1] + np.float32(2 * FLOAT_ERROR + 10.0**-DIGITS)
+        if floor is not None:
+            most = np.minimum(most, np.float32(FLOAT_ERROR - floor))
+        may = s <= np.minimum(most, 2)[:, None]
+        many = may.sum(1)
+        few = np.flatnonzero((many > 0) & (many <= 8 * k))
+        for x in range(0, len(few), 256):
+            i, j = np.nonzero(may[few[x : x + 256]])
+            i = few[x : x + 256][i]
+            sim = np.einsum("ij,ij->i", u[i], d[j])
+            if floor is not None:
+                i, j, sim = (y[sim >= floor] for y in (i, j, sim))
+            sim = np.round(sim, DIGITS)
+            order = np.lexsort((j, -sim, i))
+            i, j, sim = i[order], j[order], sim[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            yield a + i[keep], j[keep], sim[keep]
+        rest = np.flatnonzero(many > 8 * k)  # within a dense cluster: all of d in double precision
+        for x in range(0, len(rest), 128):
+            r = rest[x : x + 128]
+            sim = u[r] @ d.T
+            sim[~may[r] | (sim < (-2 if floor is None else floor))] = -np.inf
+            sim = np.round(sim, DIGITS)
+            i, j = np.nonzero(_cut(sim, k))
+            yield a + r[i], j, sim[i, j]
 
 
 def _candidates(routed: DataFrame, dims: int, k: int, floor: float | None) -> DataFrame:
-    """(model, qc, near): of each query in each block its k best, or those of them that may reach ``floor``."""
+    """(model, qc, near): of each query in each block its k best, at ``floor`` or above."""
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        v = np.frombuffer(b"".join(rows["half"]), "<f2").reshape(-1, dims).astype(np.float32)
-        cid = rows["cid"].to_numpy()
-        stored = np.flatnonzero(rows["stored"].to_numpy(bool))
-        asks = np.flatnonzero(rows["asks"].to_numpy(bool))
-        model = rows["model"].iloc[0] if len(rows) else ""
-        d, names, near = v[stored], [], []
+        rows = rows.sort_values("cid", ignore_index=True)
+        v, cid = units(rows["vec"], dims), rows["cid"].to_numpy()
+        stored, asks, visits = (np.flatnonzero(rows[c].to_numpy(bool)) for c in ("stored", "asks", "visits"))
         where = np.full(len(v), -1)
         where[stored] = np.arange(len(stored))
-        for a in range(0, len(asks) if len(stored) else 0, TILE):
-            q = asks[a : a + TILE]
-            s = v[q] @ d.T
-            own = where[q]
-            s[np.flatnonzero(own >= 0), own[own >= 0]] = -2
-            if floor is not None:
-                reach = s >= floor - HALF_ERROR
-                for i in np.flatnonzero(reach.sum(1) > 2 * k):  # more than can count: the 2k best
-                    reach[i] = False
-                    reach[i, np.argpartition(-s[i], 2 * k - 1)[: 2 * k]] = True
-                i, j = np.nonzero(reach)
-            else:
-                best = min(k, s.shape[1])
-                j = np.argpartition(-s, best - 1, 1)[:, :best] if best < s.shape[1] else np.tile(np.arange(best), (len(q), 1))
-                i, j = np.repeat(np.arange(len(q)), j.shape[1]), j.ravel()
-            sim = s[i, j]
-            keep = sim > -2
-            i, pairs = i[keep], list(zip(sim[keep].tolist(), cid[stored[j[keep]]].tolist()))
-            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
-            names += cid[q[i[first]]].tolist() if len(i) else []
-            near += [pairs[x:y] for x, y in zip(first, [*first[1:], len(pairs)])]
+        ways = [(asks, stored, where[asks])]
+        if floor is not None:  # what is stored asks the visitors
+            ways.append((stored, visits, np.full(len(stored), -1)))
+        names, near = [], []
+        for q, d, own in ways:
+            for i, j, sim in nearest(v[q], v[d], own, k, floor):
+                pairs = list(zip((-sim).tolist(), cid[d[j]].tolist()))
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.array([], int)
+                names += cid[q[i[first]]].tolist() if len(i) else []
+                near += [pairs[x:y] for x, y in zip(first, [*first[1:], len(pairs)])]
+        model = rows["model"].iloc[0] if len(rows) else ""
         return pd.DataFrame({"model": pd.Series([model] * len(names), dtype=object), "qc": pd.Series(names, dtype="int64"), "near": pd.Series(near, dtype=object)})
 
     return _blocks(routed).groupBy("model", "part", "block_d", "block_q").applyInPandas(match, NEAR)
 
 
-def _cosine(a: str, b: str, dims: int):
-    @F.pandas_udf("double")
-    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="float64")
-        p, q = (np.frombuffer(b"".join(s), "<f4").reshape(-1, dims).astype(float) for s in (x, y))
-        return pd.Series((p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1)))
-
-    return cosine(a, b)
-
-
 def neighbours(chunks: DataFrame, k: int = 10, floor: float | None = None, dims: int = 64, recall: float | None = None) -> DataFrame:
     """model, chunk, neighbour, rank and similarity: of every usable vector its k nearest, or those of them at ``floor`` or above.
 
@@ -216,37 +252,33 @@ def neighbours(chunks: DataFrame, k: int = 10, floor: float | None = None, dims:
     distinct = checkpointed(classes(vectors, k + 1))
     router = fitted_router(distinct, dims, k, floor, recall or (0.95 if floor is None else 0.998))
     found = _candidates(_routed(distinct, router, dims), dims, k, floor)
-    if floor is not None:  # few pairs: both directions, then the exact cosine
-        pair = found.select("model", "qc", F.explode("near.dc").alias("dc"))
-        ways = F.explode(F.array(F.struct(F.col("qc").alias("qc"), F.col("dc").alias("dc")), F.struct(F.col("dc").alias("qc"), F.col("qc").alias("dc")))).alias("way")
-        pair = pair.select("model", ways).select("model", "way.*").distinct()
-        full = distinct.select("cid", "vec")
-        pair = pair.join(full.toDF("qc", "qv"), "qc").join(full.toDF("dc", "dv"), "dc")
-        exact = pair.select("model", "qc", "dc", _cosine("qv", "dv", dims).alias("sim")).where(F.col("sim") >= floor)
-        # All that tie with the k-th stay, so that ties are settled by id below.
-        best = Window.partitionBy("qc").orderBy(F.desc("sim"))
-        found = exact.withColumn("nth", F.rank().over(best)).where(F.col("nth") <= k).select("model", "qc", "dc", "sim")
+    if floor is not None:  # few pairs, some of them found in two places
+        pair = found.select("model", "qc", F.explode("near").alias("n")).groupBy("model", "qc", F.col("n.dc").alias("dc")).agg(F.min("n.d").alias("d"))
+        best = Window.partitionBy("model", "qc").orderBy("d", "dc")
+        found = pair.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("model", "qc", "dc", "d")
     else:
-        # A query has one list per probe and block, without common members; the best are kept with all that tie.
-        merged = found.groupBy("model", "qc").agg(F.sort_array(F.flatten(F.collect_list("near")), asc=False).alias("near"))
-        last = F.element_at("near", F.least(F.lit(k), F.size("near")))["sim"]
-        found = merged.where(F.size("near") > 0).select("model", "qc", F.explode(F.filter("near", lambda x: x["sim"] >= last)).alias("n")).select("model", "qc", "n.dc", F.col("n.sim").cast("double").alias("sim"))
+        # A query has one list per probe and block, without common members.
+        merged = found.groupBy("model", "qc").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+        found = merged.select("model", "qc", F.explode("near").alias("n")).select("model", "qc", "n.dc", "n.d")
     # The ids behind the classes. What has several ids is rare; still every neighbour's ids come by a join.
     ids = distinct.select(F.col("cid").alias("dc"), F.col("ids").alias("d_ids"))
-    lists = found.join(ids, "dc").groupBy("qc").agg(F.collect_list(F.struct((-F.col("sim")).alias("d"), F.col("d_ids").alias("ids"))).alias("near"))
+    lists = found.join(ids, "dc").groupBy("qc").agg(F.collect_list(F.struct("d", F.col("d_ids").alias("ids"))).alias("near"))
     own = distinct.select("model", F.col("cid").alias("qc"), F.col("ids").alias("q_ids"))
     # Without neighbours at or above the floor, a class of one vector yields no row: an inner join loses nothing then.
     rows = own.join(lists, "qc", "left").where(F.col("near").isNotNull() | (F.size("q_ids") > 1))
     near = F.coalesce("near", F.array().cast("array<struct<d:double,ids:array<string>>>"))
-    listed = "array<struct<d:double,id:string>>"
-    flat = F.flatten(F.transform(near, lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("id"))))).cast(listed)
-    same = F.transform("q_ids", lambda i: F.struct(F.lit(-1.0).alias("d"), i.alias("id"))).cast(listed)
-    rows = rows.select("model", F.explode("q_ids").alias("chunk"), F.array_sort(F.concat(same, flat)).alias("all"))
+    struct = "array<struct<d:double,id:string>>"
+    flat = F.flatten(F.transform(near, lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("id"))))).cast(struct)
+    same = F.transform("q_ids", lambda i: F.struct(F.lit(-1.0).alias("d"), i.alias("id"))).cast(struct)
+    listed = rows.select("model", "qc", "q_ids", F.array_sort(F.concat(same, flat)).alias("all"))
+    rows = listed.select("model", F.explode("q_ids").alias("chunk"), "all")
     rows = rows.select("model", "chunk", F.posexplode(F.slice(F.filter("all", lambda x: x["id"] != F.col("chunk")), 1, k)).alias("pos", "n"))
     out = rows.select("model", "chunk", F.col("n.id").alias("neighbour"), (F.col("pos") + 1).alias("rank"), (-F.col("n.d")).alias("similarity"))
-    # Members of a class beyond its first k + 1 ids have the first k as neighbours.
-    hot = distinct.where(F.size("ids") > k).select("model", "vec", F.slice("ids", 1, k).alias("first"), "ids")
+    # Members of a class beyond its first k + 1 ids have the class's first k neighbours, which all tie at 1.
+    hot = distinct.where(F.size("ids") > k).select("model", "vec", "cid", "ids")
     if not hot.isEmpty():
+        first = listed.where(F.size("q_ids") > k).select(F.col("qc").alias("cid"), F.transform(F.slice("all", 1, k), lambda x: x["id"]).alias("first"))
+        hot = hot.join(first, "cid").drop("cid")
         salts = 16
         salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         rest = vectors.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["model", "vec", "salt"]).where(~F.array_contains("ids", F.col("id")))

@@ -126,6 +126,27 @@ def test_many_copies(spark):
     assert near == {"i0000", "i0001", "i0002"}
 
 
+def dense_cluster(spark, monkeypatch, n=200):
+    """Scaled copies of a vector, jittered ones and others, in blocks; and their k nearest by brute force (SQL's rounding and ties)."""
+    monkeypatch.setattr(N, "DATA_BLOCK", 100)
+    monkeypatch.setattr(N, "QUERY_BLOCK", 150)
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=16)
+    v = np.concatenate([one * rng.uniform(0.1, 10, (n, 1)), one + 0.004 * rng.normal(size=(n, 16)), one + 0.4 * rng.normal(size=(n, 16)), rng.normal(size=(n, 16))]).astype(np.float32).astype(float)
+    ids = [f"i{x:04d}" for x in rng.permutation(len(v))]
+    df = spark.createDataFrame([(i, "m", [float(x) for x in r]) for i, r in zip(ids, v)], "id string, embedding_model string, embedding array<float>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    near = {a: sorted((-round(float(s[x, y]), 9), b) for y, b in enumerate(ids) if y != x) for x, a in enumerate(ids)}
+    return df, near
+
+
+def test_floor_in_a_dense_cluster(spark, monkeypatch):
+    df, near = dense_cluster(spark, monkeypatch)
+    want = {(min(a, b), max(a, b)) for a, own in near.items() for d, b in own[:10] if -d >= 0.9}
+    assert {tuple(r) for r in N.near_pairs(df, 10, 0.9, dims=16).collect()} == want
+
+
 def test_no_vectors(spark):
     df = frame(spark, vectors(30)).where("id = 'z'")
     assert N.near_pairs(df, 3, 0.9, dims=16).count() == 0
