@@ -147,6 +147,14 @@ def test_floor_in_a_dense_cluster(spark, monkeypatch):
     assert {tuple(r) for r in N.near_pairs(df, 10, 0.9, dims=16).collect()} == want
 
 
+def test_ranks_in_a_dense_cluster(spark, monkeypatch):
+    df, near = dense_cluster(spark, monkeypatch, 100)
+    got = {a: [] for a in near}
+    for r in N.neighbours(df, 10, dims=16).orderBy("chunk", "rank").collect():
+        got[r["chunk"]].append((r["neighbour"], round(r["similarity"], 9)))
+    assert got == {a: [(b, -d) for d, b in own[:10]] for a, own in near.items()}
+
+
 def test_no_vectors(spark):
     df = frame(spark, vectors(30)).where("id = 'z'")
     assert N.near_pairs(df, 3, 0.9, dims=16).count() == 0
