@@ -80,21 +80,22 @@ def fitted_router(distinct: DataFrame, dims: int, k: int, floor: float | None, t
     """Fit on the first rows in hash order: at most SAMPLE_ROWS of them, 128 per part.
 
     Without ``floor`` the probes are as many as bring the share ``target`` of true neighbours together: those of
-    PROBE_QUERIES sample rows are found among all rows in one pass.
+    PROBE_QUERIES rows outside the sample are found among all rows in one pass.
     """
     n = distinct.count()
     parts = 1 if n < 2 * PART_ROWS else min(MOST_PARTS, 2 ** round(np.log2(n / PART_ROWS)))
-    rows = min(SAMPLE_ROWS, 128 * parts)
+    fit_rows = min(SAMPLE_ROWS, 128 * parts, n - min(PROBE_QUERIES, n // 4))
+    rows = fit_rows + PROBE_QUERIES
     # A hash threshold keeps about twice the rows wanted, so that only those are sorted.
     share = min(1.0, 2 * rows / max(1, n))
     h = F.xxhash64("vec", F.lit("sample"))
     some = distinct.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(np.ceil(share * (1 << 20))))).select("model", "vec", h.alias("h")).orderBy("h", "vec", "model").limit(rows)
     rows = some.collect() if parts > 1 else []
     v = units([bytes(r["vec"]) for r in rows], dims).astype("<f4")
-    router = fit(v, parts, k, floor, target)
+    router = fit(v[:fit_rows], parts, k, floor, target)
     if floor is None and router.parts > 1:
-        asked = v[:PROBE_QUERIES]
-        found = _true_homes(distinct, asked, [r["model"] for r in rows[:PROBE_QUERIES]], router, k)
+        asked = v[fit_rows:]
+        found = _true_homes(distinct, asked, [r["model"] for r in rows[fit_rows:]], router, k)
         z = asked @ router.weights + router.bias
         depth = [(z[q] > z[q, p]).sum() + 1 for q, p in found]
         router.probes = int(np.quantile(depth, target, method="higher"))

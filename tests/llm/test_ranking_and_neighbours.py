@@ -117,6 +117,17 @@ def test_learned_parts_and_blocks(spark, monkeypatch, parts, rows):
     assert np.mean([len(found.get(c, set()) & {x for _, x in s}) / len(s) for c, s in want.items()]) >= 0.9
 
 
+def test_probes_are_chosen_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART_ROWS", 150)
+    seen = {}
+    fit, homes = N.fit, N._true_homes
+    monkeypatch.setattr(N, "fit", lambda v, *a: seen.update(fitted=v) or fit(v, *a))
+    monkeypatch.setattr(N, "_true_homes", lambda distinct, asked, *a: seen.update(asked=asked) or homes(distinct, asked, *a))
+    N.neighbours(frame(spark, vectors(1200)), 5, dims=16)
+    fitted = {x.tobytes() for x in seen["fitted"]}
+    assert len(seen["asked"]) >= 100 and not any(x.tobytes() in fitted for x in seen["asked"])
+
+
 def test_many_copies(spark):
     v = np.tile(vectors(30)[:1], (40, 1))
     got = N.neighbours(frame(spark, v), 3, 0.9, dims=16).collect()
