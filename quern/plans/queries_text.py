@@ -100,6 +100,12 @@ def plain_sentences(spark, d):
     return table(spark, d, "documents").where("text is not null and source_type = 'txt'").select("doc_id", F.size(T.split_sentences(F.col("text"))).alias("sentences"))
 
 
+@query()
+def document_sentences(spark, d):
+    """Sentences of all documents by the rules of the chunker, as spans."""
+    return chunking.document_sentences(table(spark, d, "documents").select("id", "text"))
+
+
 @query("with own as (select distinct id, document_id, section, text from chunks) select own.id, sha256(case when coalesce(nullif(d.name, ''), nullif(section, '')) is null then own.text else concat_ws(' > ', nullif(d.name, ''), nullif(section, '')) || chr(10) || chr(10) || own.text end) as hash from own join documents d on d.id = own.document_id where own.text is not null")
 def embedding_inputs(spark, d):
     own = table(spark, d, "chunks").select("id", "document_id", "section", "text").distinct()

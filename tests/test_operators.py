@@ -266,3 +266,27 @@ def test_empty_strategy(spark):
     chunks = spark.createDataFrame([], "id string, document_id string, parent_id string, section string, page int, start_char int, end_char int, text string, embedding array<float>, embedding_model string, metadata map<string,string>, created_at timestamp")
     q = spark.createDataFrame([("q", "tide")], "query_id string, query string")
     assert registry.retrieve(registry.Context(chunks, Settings()), q, 5, "bm25").count() == 0
+
+
+def test_sentences_of_all_documents(spark, data):
+    from quern.plans.catalogue import QUERIES
+
+    texts = {
+        "md": "# Head\nPods run. They stop!\n\nSteps:\n- one. two\n- three\n\n```\na. b.\n\nc?\n```\n\nEnd",
+        "pdf": "Is it? Yes.  \nNo end\n\n\n1. first\n2) second", "blank": " \n", "null": None,
+    }
+    want = {
+        "md": ["# Head\nPods run.", "They stop!", "Steps:", "- one.", "two", "- three", "```\na. b.\n\nc?\n```", "End"],
+        "pdf": ["Is it?", "Yes.", "No end", "1.", "first", "2) second"],
+    }
+    got = {}
+    for r in chunking.document_sentences(spark.createDataFrame(list(texts.items()), "id string, text string")).orderBy("document_id", "ordinal").collect():
+        got.setdefault(r["document_id"], []).append(texts[r["document_id"]][r["start_char"] : r["end_char"]])
+    assert got == want
+    docs = {r["id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = QUERIES["document_sentences"](spark, data).collect()
+    assert {r["document_id"] for r in rows} == {i for i, t in docs.items() if t and t.strip()}
+    inside = {}
+    for r in rows:
+        inside.setdefault(r["document_id"], []).append((r["start_char"], r["end_char"]))
+    assert all("".join("".join(docs[i][a:b] for a, b in sorted(set(own))).split()) == "".join(docs[i].split()) for i, own in inside.items())
