@@ -1,7 +1,8 @@
 """The most similar vectors of every vector (problem 2).
 
 A router (``quern.llm.router``) is fitted on a bounded sample: the sample's neighbour graph is
-cut into balanced parts and a softmax classifier learns them. Every vector is stored in its
+cut into balanced parts and a softmax classifier learns them. A large collection has two levels of
+this, so that the number of parts grows with its rows. Every vector is stored in its
 most probable part and sent as a query to its few most probable parts; within a (model, part)
 queries meet vectors by matrix products, block by block.
 
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from quern.llm.router import Router, fit
+from quern.llm.router import Level, Router, fit, largest, pairs_at
 from quern.session import checkpointed
 
-#: Bounds of what the driver fits: rows of the sample, parts.
-SAMPLE_ROWS, MOST_PARTS = 65_536, 512
-PART_ROWS, PROBE_QUERIES = 3_000, 512
+#: Rows of a part, rows per part that a classifier is fitted on, and parts of one classifier; so a fit takes at most their product.
+PART_ROWS, FIT_ROWS, WIDE = 3_000, 128, 512
+#: Parts that a collection has at least, however small.
+LEAST_PARTS = 4
+PROBE_QUERIES = 512
 DATA_BLOCK, QUERY_BLOCK, TILE = 16_384, 32_768, 1_024
 FLOAT_ERROR = 4e-6  # more than single precision can change a cosine
 DIGITS = 9  # of a cosine; beyond them vectors tie
@@ -76,49 +79,89 @@ def classes(vectors: DataFrame, keep: int) -> DataFrame:
     return ids.orderBy(F.col("ids")[0], "model", "vec").select("model", F.monotonically_increasing_id().alias("cid"), "ids", "vec")
 
 
-def fitted_router(distinct: DataFrame, dims: int, k: int, floor: float | None, target: float) -> Router:
-    """Fit on the first rows in hash order: at most SAMPLE_ROWS of them, 128 per part.
+def _sampled(distinct: DataFrame, rows: int, n: int) -> list:
+    """The first ``rows`` of ``n`` rows in hash order. A hash threshold keeps about twice as many, so that only those are sorted."""
+    h = F.xxhash64("vec", F.lit("sample"))
+    share = min(1.0, (2 * rows + 100) / max(1, n))
+    some = distinct.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(np.ceil(share * (1 << 30)))))
+    return some.select("model", "vec", h.alias("h")).orderBy("h", "vec", "model").limit(rows).collect()
+
+
+def fitted_router(distinct: DataFrame, dims: int, k: int, floor: float | None, target: float, part_rows: int = PART_ROWS, wide: int = WIDE) -> Router:
+    """A router to about n / part_rows parts, and its number of probes.
+
+    Up to ``wide`` parts one classifier is fitted on FIT_ROWS rows per part. Beyond that it finds coarse parts only,
+    and each of these gets its own classifier, fitted where its sample is, with parts in proportion to its rows: the
+    number of parts grows with the collection. What the driver and every task hold of the model is
+    (dims + 1) * 4 bytes a part, 4 MB for 50 million vectors.
 
     Without ``floor`` the probes are as many as bring the share ``target`` of true neighbours together: those of
     PROBE_QUERIES rows outside the sample are found among all rows in one pass.
     """
     n = distinct.count()
-    parts = 1 if n < 2 * PART_ROWS else min(MOST_PARTS, 2 ** round(np.log2(n / PART_ROWS)))
-    fit_rows = min(SAMPLE_ROWS, 128 * parts, n - min(PROBE_QUERIES, n // 4))
-    rows = fit_rows + PROBE_QUERIES
-    # A hash threshold keeps about twice the rows wanted, so that only those are sorted.
-    share = min(1.0, 2 * rows / max(1, n))
-    h = F.xxhash64("vec", F.lit("sample"))
-    some = distinct.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(np.ceil(share * (1 << 20))))).select("model", "vec", h.alias("h")).orderBy("h", "vec", "model").limit(rows)
-    rows = some.collect() if parts > 1 else []
+    parts = max(LEAST_PARTS, round(n / part_rows))
+    coarse = parts if parts <= wide else min(wide, int(np.ceil(np.sqrt(parts))))
+    asked = min(PROBE_QUERIES, n // 4)
+    fit_rows = max(0, min(FIT_ROWS * coarse, n - asked))
+    rows = _sampled(distinct, fit_rows + asked, n)
     v = units([bytes(r["vec"]) for r in rows], dims).astype("<f4")
-    router = fit(v[:fit_rows], parts, k, floor, target)
-    if floor is None and router.parts > 1:
-        asked = v[fit_rows:]
-        found = _true_homes(distinct, asked, [r["model"] for r in rows[fit_rows:]], router, k)
-        z = asked @ router.weights + router.bias
-        depth = [(z[q] > z[q, p]).sum() + 1 for q, p in found]
+    router = Router(fit(v[:fit_rows], coarse, k))
+    if coarse < parts and router.parts > 1:
+        router = _refined(distinct, router, dims, k, part_rows)
+    if router.parts > 1:
+        if floor is None:
+            found = _true_homes(distinct, v[fit_rows:], [r["model"] for r in rows[fit_rows:]], router, k)
+            depth = router.depths(v[fit_rows:][[q for q, _ in found]], np.array([p for _, p in found])) if found else [1]
+        else:  # a pair is found from either side
+            a, b = pairs_at(v, floor)
+            depth = np.minimum(router.depths(a, router.homes(b)), router.depths(b, router.homes(a)))
         router.probes = int(np.quantile(depth, target, method="higher"))
     return router
 
 
+def _refined(distinct: DataFrame, router: Router, dims: int, k: int, part_rows: int) -> Router:
+    """The router with a second classifier for each of its parts, fitted in one task each on FIT_ROWS rows per part to come."""
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"home": router.homes(units(pdf["vec"], dims).astype("<f4")).astype("int32"), "vec": pdf["vec"]})
+
+    placed = distinct.select("vec").mapInPandas(homes, "home int, vec binary")
+    sizes = {r["home"]: r["count"] for r in placed.groupBy("home").count().collect()}  # a row per coarse part
+    inner = {c: max(1, min(WIDE, round(m / part_rows))) for c, m in sizes.items()}
+    # The share of each coarse part's rows that its fit takes, as a threshold on the hash.
+    upto = F.create_map(*(F.lit(x) for c, m in sizes.items() for x in (c, int(min(1.0, FIT_ROWS * inner[c] / m) * (1 << 30)))))
+    some = placed.where(F.pmod(F.xxhash64("vec", F.lit("fine")), F.lit(1 << 30)) < upto[F.col("home")])
+
+    def fine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        level = fit(units(rows.sort_values("vec")["vec"], dims).astype("<f4"), inner[int(key[0])], k)
+        return pd.DataFrame({"home": [key[0]], "parts": [level.parts], "weights": [level.weights.astype("<f4").tobytes()], "bias": [level.bias.astype("<f4").tobytes()]})
+
+    levels = {}
+    for r in some.groupBy("home").applyInPandas(fine, "home int, parts int, weights binary, bias binary").collect():
+        if r["parts"] > 1:
+            levels[r["home"]] = Level(np.frombuffer(r["weights"], "<f4").reshape(dims, -1), np.frombuffer(r["bias"], "<f4"))
+    return Router(router.top, levels)
+
+
 def _true_homes(distinct: DataFrame, asked: np.ndarray, models: list[str], router: Router, k: int) -> list[tuple[int, int]]:
-    """(query, part) of the k nearest rows of each of a few queries, by brute force."""
+    """(query, part) of the k nearest rows of each of a few queries, by brute force; each task gives k rows a query."""
     dims = asked.shape[1]
     names = np.array(models, dtype=object)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sims, parts = np.full((len(asked), k), -2.0, np.float32), np.full((len(asked), k), -1, np.int64)
         for pdf in batches:
             if not len(pdf):
                 continue
             v = units(pdf["vec"], dims).astype("<f4")
             s = asked @ v.T
             s[(names[:, None] != pdf["model"].to_numpy()[None]) | (s > 1 - 1e-6)] = -2
-            best = min(k, s.shape[1])
-            j = np.argpartition(-s, best - 1, 1)[:, :best]
-            q = np.repeat(np.arange(len(asked)), best)
-            sim, home = s[q, j.ravel()], router.homes(v)[j.ravel()]
-            yield pd.DataFrame({"q": q[sim > -2], "sim": sim[sim > -2], "part": home[sim > -2]})
+            best = largest(np.concatenate([sims, s], 1), k)
+            homes = np.concatenate([parts, np.broadcast_to(router.homes(v), s.shape)], 1)
+            sims, parts = np.take_along_axis(np.concatenate([sims, s], 1), best, 1), np.take_along_axis(homes, best, 1)
+        q, nth = np.nonzero(sims > -2)
+        yield pd.DataFrame({"q": q.astype("int32"), "sim": sims[q, nth], "part": parts[q, nth].astype("int32")})
 
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "part")
     own = distinct.select("model", "vec").mapInPandas(nearest, "q int, sim float, part int")
@@ -129,12 +172,14 @@ def _true_homes(distinct: DataFrame, asked: np.ndarray, models: list[str], route
 def _routed(distinct: DataFrame, router: Router, dims: int) -> DataFrame:
     """(model, part, role, cid, vec): role 0 stores a vector, and asks there, its home; role 1 only asks."""
 
+    model = distinct.sparkSession.sparkContext.broadcast(router)  # (dims + 1) * 4 bytes a part
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             v = units(pdf["vec"], dims).astype("<f4")
-            parts = router.routes(v)
+            parts = model.value.routes(v)
             for j in range(parts.shape[1]):
                 yield pd.DataFrame({"model": pdf["model"], "part": parts[:, j].astype("int32"), "role": np.int8(j > 0), "cid": pdf["cid"], "vec": pdf["vec"]})
 
@@ -241,17 +286,17 @@ def _candidates(routed: DataFrame, dims: int, k: int, floor: float | None) -> Da
     return _blocks(routed).groupBy("model", "part", "block_d", "block_q").applyInPandas(match, NEAR)
 
 
-def neighbours(chunks: DataFrame, k: int = 10, floor: float | None = None, dims: int = 64, recall: float | None = None) -> DataFrame:
+def neighbours(chunks: DataFrame, k: int = 10, floor: float | None = None, dims: int = 64, recall: float | None = None, part_rows: int = PART_ROWS, wide: int = WIDE) -> DataFrame:
     """model, chunk, neighbour, rank and similarity: of every usable vector its k nearest, or those of them at ``floor`` or above.
 
-    ``recall`` is the share of pairs that the probes must bring together; by default 0.95 of true neighbours, or 0.998
-    of pairs whose cosine is ``floor``.
+    ``recall`` is the share of pairs that the probes must bring together; by default 0.96 of true neighbours, or 0.9995
+    of pairs whose cosine is ``floor``. ``part_rows`` is about how many vectors a part holds, ``wide`` how many parts one classifier tells apart.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     vectors = usable(chunks, dims)
     distinct = checkpointed(classes(vectors, k + 1))
-    router = fitted_router(distinct, dims, k, floor, recall or (0.95 if floor is None else 0.998))
+    router = fitted_router(distinct, dims, k, floor, recall or (0.96 if floor is None else 0.9995), part_rows, wide)
     found = _candidates(_routed(distinct, router, dims), dims, k, floor)
     if floor is not None:  # few pairs, some of them found in two places
         pair = found.select("model", "qc", F.explode("near").alias("n")).groupBy("model", "qc", F.col("n.dc").alias("dc")).agg(F.min("n.d").alias("d"))

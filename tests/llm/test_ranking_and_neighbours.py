@@ -106,24 +106,22 @@ def test_small_sets_are_exact(spark):
 
 @pytest.mark.parametrize("parts, rows", [(8, 100), (2, 30)])
 def test_learned_parts_and_blocks(spark, monkeypatch, parts, rows):
-    monkeypatch.setattr(N, "PART_ROWS", 1200 // parts)
     monkeypatch.setattr(N, "DATA_BLOCK", rows)
     monkeypatch.setattr(N, "QUERY_BLOCK", 2 * rows)
     v = vectors(1200)
     want = brute(v, {}, 5)
     found = {}
-    for r in N.neighbours(frame(spark, v), 5, dims=16).collect():
+    for r in N.neighbours(frame(spark, v), 5, dims=16, part_rows=1200 // parts).collect():
         found.setdefault(r["chunk"], set()).add(r["neighbour"])
     assert np.mean([len(found.get(c, set()) & {x for _, x in s}) / len(s) for c, s in want.items()]) >= 0.9
 
 
 def test_probes_are_chosen_outside_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(N, "PART_ROWS", 150)
     seen = {}
     fit, homes = N.fit, N._true_homes
     monkeypatch.setattr(N, "fit", lambda v, *a: seen.update(fitted=v) or fit(v, *a))
     monkeypatch.setattr(N, "_true_homes", lambda distinct, asked, *a: seen.update(asked=asked) or homes(distinct, asked, *a))
-    N.neighbours(frame(spark, vectors(1200)), 5, dims=16)
+    N.neighbours(frame(spark, vectors(1200)), 5, dims=16, part_rows=150)
     fitted = {x.tobytes() for x in seen["fitted"]}
     assert len(seen["asked"]) >= 100 and not any(x.tobytes() in fitted for x in seen["asked"])
 
@@ -159,6 +157,7 @@ def test_floor_in_a_dense_cluster(spark, monkeypatch):
 
 
 def test_ranks_in_a_dense_cluster(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAST_PARTS", 1)  # blocks are tested here, not routing
     df, near = dense_cluster(spark, monkeypatch, 100)
     got = {a: [] for a in near}
     for r in N.neighbours(df, 10, dims=16).orderBy("chunk", "rank").collect():
@@ -174,8 +173,60 @@ def test_no_vectors(spark):
 def test_router_is_balanced():
     v = vectors(2000, dims=16)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    r = router.fit(v, 8, 10, None, 0.95)
-    assert r.parts == 8 and 1 <= r.probes <= 8
+    top = router.fit(v, 8, 10)
+    assert top.parts == 8
     graph = router.neighbour_graph(v, 10)
-    label = router.refine(graph, router.halves(v, 8, np.random.default_rng(0)), 8)
-    assert np.bincount(label, minlength=8).max() <= 1.1 * 2000 / 8 + 1
+    label = router.refine(graph, router.seeded(v, graph, 8, np.random.default_rng(0)), 8)
+    start = router.seeded(v, graph, 8, np.random.default_rng(0))
+    assert np.bincount(label, minlength=8).max() <= max(np.bincount(start).max(), 1.3 * 2000 / 8 + 1)
+    r = router.Router(top, probes=3)
+    assert (r.routes(v)[:, 0] == r.homes(v)).all() and r.routes(v).shape == (2000, 3)
+
+
+def test_two_levels_route_like_their_probabilities():
+    v = vectors(3000, dims=16).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    top = router.fit(v, 6, 10)
+    home = router.Router(top).homes(v)
+    r = router.Router(top, {c: router.fit(v[home == c], 4, 5) for c in range(5)}, probes=4)
+    assert r.parts == sum(r.fine[c].parts for c in range(5)) + 1
+    routes = r.routes(v)
+    assert (routes[:, 0] == r.homes(v)).all() and all(len(set(x)) == 4 for x in routes.tolist())
+    assert (r.depths(v, routes[:, 0]) == 1).all()
+    for j in range(1, 4):
+        assert (r.depths(v, routes[:, j]) >= 2).all()
+
+
+def test_parts_grow_with_the_collection(spark):
+    """More parts than one classifier tells apart: a second level, and still nine of ten neighbours."""
+    v = vectors(2400)
+    want = brute(v, {}, 5)
+    distinct = N.checkpointed(N.classes(N.usable(frame(spark, v), 16), 6))
+    r = N.fitted_router(distinct, 16, 5, None, 0.96, part_rows=60, wide=8)
+    assert len(r.fine) >= 4 and r.parts > 20 and r.probes < r.parts
+    found = {}
+    for x in N.neighbours(frame(spark, v), 5, dims=16, part_rows=60, wide=8).collect():
+        found.setdefault(x["chunk"], set()).add(x["neighbour"])
+    assert np.mean([len(found.get(c, set()) & {x for _, x in s}) / len(s) for c, s in want.items()]) >= 0.9
+
+
+def test_recall_on_real_chunks(spark):
+    """Of 400 chunks at sf0.1, the share of their true neighbours that is found, and how many parts are probed for it."""
+    chunks = spark.read.parquet("/root/testdata/sf0.1/chunks.parquet")
+    vectors_ = N.usable(chunks, 64).dropDuplicates(["id"]).toPandas()
+    u = N.units(vectors_["vec"], 64)
+    ids, models = vectors_["id"].to_numpy(), vectors_["model"].to_numpy()
+    asked = np.random.default_rng(3).choice(len(ids), 400, False)
+    got = {}
+    for r in N.neighbours(chunks, 10).where(F.col("chunk").isin(ids[asked].tolist())).collect():
+        got.setdefault(r["chunk"], {})[r["neighbour"]] = r["similarity"]
+    hits = every = 0
+    place = {x: k for k, x in enumerate(ids)}
+    for a in asked:
+        s = np.where(models == models[a], u @ u[a], -2)
+        s[a] = -2
+        least = np.sort(s)[-10] - 1e-9
+        hits += sum(s[place[x]] >= least for x in got[ids[a]])
+        every += 10
+        assert all(abs(s[place[x]] - c) < 1e-8 for x, c in got[ids[a]].items())
+    assert hits / every >= 0.93
