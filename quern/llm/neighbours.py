@@ -289,14 +289,14 @@ def _candidates(routed: DataFrame, dims: int, k: int, floor: float | None) -> Da
 def neighbours(chunks: DataFrame, k: int = 10, floor: float | None = None, dims: int = 64, recall: float | None = None, part_rows: int = PART_ROWS, wide: int = WIDE) -> DataFrame:
     """model, chunk, neighbour, rank and similarity: of every usable vector its k nearest, or those of them at ``floor`` or above.
 
-    ``recall`` is the share of pairs that the probes must bring together; by default 0.96 of true neighbours, or 0.9995
+    ``recall`` is the share of pairs that the probes must bring together; by default 0.96 of true neighbours, or 0.999
     of pairs whose cosine is ``floor``. ``part_rows`` is about how many vectors a part holds, ``wide`` how many parts one classifier tells apart.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     vectors = usable(chunks, dims)
     distinct = checkpointed(classes(vectors, k + 1))
-    router = fitted_router(distinct, dims, k, floor, recall or (0.96 if floor is None else 0.9995), part_rows, wide)
+    router = fitted_router(distinct, dims, k, floor, recall or (0.96 if floor is None else 0.999), part_rows, wide)
     found = _candidates(_routed(distinct, router, dims), dims, k, floor)
     if floor is not None:  # few pairs, some of them found in two places
         pair = found.select("model", "qc", F.explode("near").alias("n")).groupBy("model", "qc", F.col("n.dc").alias("dc")).agg(F.min("n.d").alias("d"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quern.llm import grouping, overlap
@@ -86,6 +87,9 @@ PAIRS = [
 def test_same_question(spark, n):
     a, b, same = PAIRS[n]
     rows = [("a", a, " Train", None, ("m", None, None), "z"), ("b", b, "dev", None, ("m", None, None), "z"), ("c", b, "train", None, None, "z"), ("d", b, None, None, None, "z"), ("e", None, "test", None, None, "z"), ("b", b, "dev ", None, ("m", None, None), "z"), ("f", "  ", "dev", None, None, "z"), ("g", "  ", "train", None, None, "z")]
+    # Other questions tell that an object follows "for the" and "of the".
+    objects = "quay beacon buoy berth skiff jetty ballast hawser pontoon capstan lockgate tidebook flotilla keelset".split()
+    rows += [(f"o{k}", f"Where is other_{k}_name stored for the {o}?", "train", None, None, "z") for k, o in enumerate(objects)]
     df = spark.createDataFrame(rows, ITEMS)
     want = {("b", "c")} | ({("a", "b")} if same else set())
     assert {(r["item_a"], r["item_b"]) for r in overlap.found(df).collect()} == want
@@ -96,6 +100,19 @@ def test_empty(spark):
     assert overlap.found(spark.createDataFrame([], ITEMS)).count() == 0
 
 
+def jaccard(a, b):
+    x, y = ({f"^{w}$"[i : i + 3] for w in t.split() for i in range(len(w))} for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similarity_is_exact():
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abcdé中") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 6))) for _ in range(300)]
+    a, b = texts[:150], texts[150:]
+    b[:20] = a[:20]
+    assert np.allclose(overlap.similarities(a, b), [jaccard(x, y) for x, y in zip(a, b)])
+
+
 def test_bands_keep_similar_sets():
     rng = random.Random(0)
     base = [f"word{i}" for i in range(16)]
@@ -104,10 +121,34 @@ def test_bands_keep_similar_sets():
         a = rng.sample(base, 12)
         b = list(a)
         b[rng.randrange(12)] = "other"
-        missed += not set(overlap.bands(overlap.shingles([], a))) & set(overlap.bands(overlap.shingles([], b)))
+        x, y = overlap.bands([" ".join(sorted(a)), " ".join(sorted(b))])
+        missed += not set(x) & set(y)
     assert missed == 0
 
 
+def test_report_counts_what_pairs_would(spark):
+    """Against the expanded pairs, with copies on both sides, an item in two splits, and null methods."""
+    rng = random.Random(2)
+    rows = []
+    for n in range(60):
+        q = f"Where is name_{rng.randrange(6)}_x stored for the {rng.choice(['quay', 'quay please', 'quayy'])}?"
+        rows.append((f"i{rng.randrange(45)}", q, rng.choice(["train", "dev", "test", " Dev"]), None, rng.choice([("m", None, None), ("n", None, None), None]), "z"))
+    df = spark.createDataFrame(rows, ITEMS)
+    method = {}
+    for r in rows:
+        method.setdefault(r[0], []).append(r[4][0] if r[4] else None)
+    method = {k: min([m for m in v if m], default=None) for k, v in method.items()}
+    pairs = {(r["train_id"], r["eval_id"], r["eval_split"]) for r in overlap.overlaps(df).collect()}
+    want = {}
+    for t, e, s in pairs:
+        w = want.setdefault((s, method[e]), [0, set(), set()])
+        w[0] += 1
+        w[1].add(e)
+        w[2].add(t)
+    got = {(r["eval_split"], r["method"]): (r["pairs"], r["eval_items"], r["train_items"]) for r in overlap.report(df).collect()}
+    assert got == {k: (n, len(a), len(b)) for k, (n, a, b) in want.items()}
+
+
 def test_queries_run(spark, data):
     from quern.llm.queries import QUERIES
 

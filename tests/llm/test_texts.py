@@ -194,6 +194,22 @@ DEFECTS = [
 ]
 
 
+PAIRS = [
+    ("Hur begränsar systemet trafiken när det är fullt och vem får ändra det?", "Tyvärr kan jag inte svara på det.", "refusal"),
+    ("Wie begrenzt das System den Verkehr, wenn es voll ist?", "Tyvärr kan jag inte hjälpa till med det.", "refusal"),
+    ("Hur begränsar systemet trafiken när det är fullt och vem får ändra det?", "It caps the number of requests, and the rest of them wait in the queue.", "other_language"),
+    ("Czy system zapisuje dane na dysku, kiedy jest pełny?", "Niestety nie mogę odpowiedzieć na to pytanie.", "refusal"),
+    ("ระบบจำกัดจำนวนคำขออย่างไร", "The system caps them.", "other_language"),
+    (Q, Q + " " + Q, "copied_question"), (Q, Q + " " + Q + " " + Q, "copied_question"), ("Limits?", "limits", "copied_question"), (Q, Q + " The beacon sheds half of them.", None),
+    (Q, "The documentation says nothing about it. " * 6, "refusal"), (Q, "It caps requests.\n\n<ul><li>one<li>two", "truncated"), (Q, "It caps requests.\n\n<ul><li>one<li>two</ul>", None), (Q, "<p>It caps requests.", None), (Q, "\\begin{itemize}\n\\item It caps requests.", "truncated"),
+]
+
+
+@pytest.mark.parametrize("question, answer, defect", PAIRS)
+def test_defects_by_grammar_and_structure(question, answer, defect):
+    assert defects.judge(question, answer, "semantic")[0] == defect
+
+
 @pytest.mark.parametrize("answer, defect", DEFECTS)
 def test_defects_of_a_pair(answer, defect):
     assert defects.judge(Q, answer, "semantic")[0] == defect
