@@ -159,8 +159,8 @@ for _language, _words in FUNCTION_WORDS.items():
         LANGUAGES.setdefault(_w, []).append(_language)
 
 QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"|「[^」]*」|『[^』]*』|‘[^’\n]{8,}’")
+QUOTE = re.compile("[“„«\"「『‘]")
 CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`", re.S)
-NAME = re.compile(r"--[\w-]+|\b[a-z]+(?:[A-Z][a-z0-9]*)+\b|\b\w+(?:_\w+)+\b|[\w~/.-]*/[\w./-]+|\b[\w-]+(?:\.[\w-]+)+\b")
 TOKEN = re.compile(r"--[\w=-]+|[^\W_]+(?:[-_.’'][^\W_]+)*|[,;:(]")
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
 SENTENCE = re.compile(r"(?<=[.!?。！？।؟])\s+|(?<=[。！？])|\n\s*\n")
@@ -223,6 +223,13 @@ def silent(words: list[str]) -> bool:
     return not SOURCES.isdisjoint(words) and not NOTHING.isdisjoint(words) and not SAYS.isdisjoint(words)
 
 
+def prose(text: str) -> str:
+    """A text without code and quotations."""
+    if "`" in text or "~~~" in text:
+        text = CODE.sub(" ", text)
+    return QUOTED.sub(" ", text) if QUOTE.search(text) else text
+
+
 def scripts(prose: str) -> str:
     """The script of a text; a third of another script than Latin decides, as names are Latin in any language. Empty where it has no letters."""
     if prose.isascii():
@@ -241,23 +248,19 @@ def scripts(prose: str) -> str:
 
 def languages(text: str) -> tuple[str, frozenset[str]]:
     """The script of the prose of a text, and for Latin the languages that its function words allow; none where they can't tell."""
-    prose = NAME.sub(" ", QUOTED.sub(" ", CODE.sub(" ", text)))
-    script = scripts(prose)
+    text = prose(text)
+    script = scripts(text)
     if script != "latin":
         return script, frozenset()
     votes: dict[str, int] = {}
-    for w in set_of_words(prose):
-        for k in LANGUAGES.get(w, ()):
+    for w in text.lower().replace("'", " ").replace("’", " ").split():
+        for k in LANGUAGES.get(w.strip(",;:.!?()¿¡"), ()):
             votes[k] = votes.get(k, 0) + 1
     best = max(votes.values(), default=0)
     near = frozenset(k for k, n in votes.items() if 1.3 * n > best)
     return script, near if best >= 3 or best == 2 and len(votes) == 1 else frozenset()
 
 
-def set_of_words(prose: str) -> list[str]:
-    return re.findall(r"[^\W\d_]+", prose.lower())
-
-
 def foreign(question: str, answer: str) -> bool:
     """Whether an answer is in another script than its question, or shares no possible language with it."""
     a, own = languages(answer)
@@ -303,17 +306,14 @@ def is_copy(question: str, answer: str) -> bool:
         return False
     if q == every:
         return True
-    repeated, before = False, 0
+    repeated, before, known = False, 0, set(q)
     covered: set[str] = set()
     for sentence in SENTENCE.split(low[1]):
         a = ALNUM.findall(sentence)
         if not a:
             continue
         tiles = tiled(a, q, 2)
-        rest = [w for w, t in zip(a, tiles) if not t]
-        known = set(q)
-        strange = sum(w not in known and not any(misspelt(w, v) for v in known) for w in rest)
-        if len(a) >= 4 and sum(tiles) >= 0.5 * max(len(a), len(q)) and strange <= 0.34 * len(a):
+        if len(a) >= 4 and sum(tiles) >= 0.5 * max(len(a), len(q)) and sum(not t and w not in known and not any(misspelt(w, v) for v in known) for w, t in zip(a, tiles)) <= 0.34 * len(a):
             repeated = True
             covered |= set(a)
         elif repeated:
@@ -489,9 +489,8 @@ def judge(question: str | None, answer: str | None, kind: str | None) -> tuple[s
     if answer is None or is_placeholder(answer):
         return "empty", []
     text = answer.strip()
-    prose = QUOTED.sub(" ", CODE.sub(" ", text)).replace("’", "'")
     quiet = words_of_all = 0
-    for sentence in SENTENCE.split(prose):
+    for sentence in SENTENCE.split(prose(text).replace("’", "'")):
         words = WORD.findall(sentence.lower())
         if refuses(sentence, words):
             return "refusal", []
