@@ -7,7 +7,9 @@ other word one per 7, and a compound identifier is costed run by run.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +48,23 @@ def estimate(text: str, start: int = 0, end: int | None = None) -> int:
     return sum(word_cost(x) for x in _piece.findall(text, start, len(text) if end is None else end))
 
 
+class Ruler:
+    """Tokens of any slice of a text from running sums over its pieces."""
+
+    def __init__(self, text: str):
+        self.text = text
+        own = costed(text)
+        self.starts, self.ends = [p[0] for p in own], [p[1] for p in own]
+        self.sums = [0, *itertools.accumulate(p[2] for p in own)]
+
+    def tokens(self, a: int, b: int) -> int:
+        """``estimate(text, a, b)``."""
+        i, j = bisect_left(self.starts, a), bisect_right(self.ends, b)
+        if i and self.ends[i - 1] > a or j < len(self.ends) and self.starts[j] < b:
+            return estimate(self.text, a, b)  # an end lies within a piece
+        return self.sums[max(i, j)] - self.sums[i]
+
+
 def token_estimate(text: Column) -> Column:
     """Tokens of a text column, computed in the JVM; null for null."""
     pieces = F.regexp_extract_all(text, F.lit(r"(?U)([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f])"), 1)

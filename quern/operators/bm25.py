@@ -88,7 +88,7 @@ class Registry:
 
     def get(self, name: str, chunks: DataFrame, text: Column, analyzer: Analyzer = Analyzer()) -> Index:
         now = tuple(signature(chunks).first())
-        key = (name, analyzer.name())
+        key = (name, analyzer.name)
         if key not in self._kept or self._kept[key][0] != now:
             old = self._kept.pop(key, None)
             if old:

@@ -117,7 +117,7 @@ ANSWERS = [
     ("a1", "Pods restart [1]. Leases expire [2, 1] and [4].", 3), ("a2", "I don’t  know based on the provided sources.", 2), ("a3", "No citation here.", 1),
     ("a4", "Both [2][3], see [x] and [10].", 3), ("a5", "", 0), ("a6", "I DON'T KNOW BASED ON THE PROVIDED SOURCES", 1),
 ]
-SQL_ANSWERS = "(values " + ", ".join("('{}', '{}', {})".format(a, b.replace("'", "''"), n) for a, b, n in ANSWERS) + ") as v(id, answer, sources)"
+SQL_ANSWERS = "(select * from (values " + ", ".join("('{}', '{}', {})".format(a, b.replace("'", "''"), n) for a, b, n in ANSWERS) + ") as x(id, answer, sources) union all select id, any_value(ground_truth_answer), 3 from eval_items where id is not null and ground_truth_answer is not null group by id) as v"
 
 
 @query(
@@ -128,7 +128,9 @@ SQL_ANSWERS = "(values " + ", ".join("('{}', '{}', {})".format(a, b.replace("'",
         contains(trim(regexp_replace(replace(lower(answer), '’', ''''), '\s+', ' ', 'g')), 'i don''t know based on the provided sources') as abstained from {SQL_ANSWERS} left join lists on lists.id = v.id"""
 )
 def parsed_citations(spark, d):
-    rows = spark.createDataFrame(ANSWERS, "id string, answer string, sources int")
+    """All ground truth answers, and some that cite."""
+    own = table(spark, d, "eval_items").where("id is not null and ground_truth_answer is not null").groupBy("id").agg(F.min("ground_truth_answer").alias("answer")).withColumn("sources", F.lit(3))
+    rows = own.unionByName(spark.createDataFrame(ANSWERS, "id string, answer string, sources int"))
     n = T.cited_numbers(F.col("answer"))
     good, bad = F.filter(n, lambda i: i.between(1, F.col("sources"))), F.filter(n, lambda i: ~i.between(1, F.col("sources")))
     return rows.select("id", F.array_join(good, ",").alias("valid"), F.array_join(bad, ",").alias("invalid"), T.is_abstention(F.col("answer")).alias("abstained"))
@@ -137,18 +139,20 @@ def parsed_citations(spark, d):
 @query(
     """with r as (select distinct query_id, chunk_id, document_id, section, page, rank, start_char, end_char from retrieval_results where retriever = 'bm25' and components is null and rank between 1 and 5),
         one as (select query_id, chunk_id, min(document_id) as document_id, min(section) as section, min(page) as page, min(rank) as rank from r group by all),
-        ranked as (select *, row_number() over (partition by query_id order by rank, chunk_id) as n from one),
-        blocks as (select query_id, n, '[' || n || '] ' || coalesce(nullif(section, ''), document_id) || case when page is null then '' else ' (page ' || page || ')' end || chr(10) || chunk_id as block from ranked)
+        texts as (select id as chunk_id, min(text) as text from chunks group by id),
+        ranked as (select *, row_number() over (partition by query_id order by rank, chunk_id) as n from one join texts using (chunk_id)),
+        blocks as (select query_id, n, '[' || n || '] ' || coalesce(nullif(section, ''), document_id) || case when page is null then '' else ' (page ' || page || ')' end || chr(10) || text as block from ranked where text is not null)
         select query_id, sha256(string_agg(block, chr(10) || chr(10) order by n)) as hash, count(*) as sources from blocks group by query_id"""
 )
 def formatted_sources(spark, d):
-    """The prompt's block of sources of every query, chunk ids standing in for texts."""
+    """The prompt's block of sources of every query, with the texts of its chunks."""
     from pyspark.sql import Window
 
     r = table(spark, d, "retrieval_results").where("retriever = 'bm25' and components is null and rank between 1 and 5")
     one = r.groupBy("query_id", "chunk_id").agg(F.min("document_id").alias("document_id"), F.min("section").alias("section"), F.min("page").alias("page"), F.min("rank").alias("rank"), F.min("start_char").alias("start_char"), F.min("end_char").alias("end_char"))
     w = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
-    ranked = one.withColumns({"rank": F.row_number().over(w), "title": F.lit(None).cast("string"), "text": F.col("chunk_id")})
+    texts = table(spark, d, "chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.min("text").alias("text"))
+    ranked = one.join(texts, "chunk_id").withColumns({"rank": F.row_number().over(w), "title": F.lit(None).cast("string")}).where("text is not null")
     return generation.sources(ranked).select("query_id", F.sha2("sources", 256).alias("hash"), F.size("contexts").alias("sources"))
 
 
@@ -159,23 +163,34 @@ def document_chunks(spark, d):
     return chunking.child_rows(chunking.chunk_documents(docs)).select("id", "document_id", "parent_id", "section", "start_char", "end_char", "token_count")
 
 
-@query("select n.what, n.n::bigint as n from (values ('child outside parent', 0), ('child too large', 0), ('edge blanks', 0), ('not a slice', 0), ('parent too large', 0)) as n(what, n)")
-def chunk_invariants(spark, d):
-    """How many pieces of all documents break an invariant: none."""
+BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(
+    rf"""with own as (select id, regexp_replace(coalesce(text, ''), '{BLANKS}', '', 'g') as said from documents)
+        select id, sha256(said) as parents, sha256(said) as children, 0::bigint as outside, 0::bigint as too_large, 0::bigint as edge_blanks from own where said <> ''"""
+)
+def chunk_coverage(spark, d):
+    """Of every document, what its parents and its children (less what a child repeats) hold together, blanks aside: all of it, in order. And how many pieces break a bound."""
     docs = table(spark, d, "documents").select("id", "text", "source_type")
-    cut = chunking.chunk_documents(docs).persist()  # read twice, for parents and for children
-    ups, downs = chunking.parent_rows(cut), chunking.child_rows(cut)
-    whole = docs.select(F.col("id").alias("document_id"), F.col("text").alias("whole"))
-    both = downs.join(ups.select(F.col("id").alias("parent_id"), F.col("start_char").alias("a"), F.col("end_char").alias("b"), F.col("token_count").alias("up")), "parent_id").join(whole, "document_id")
-    checks = {
-        "child outside parent": (F.col("start_char") < F.col("a")) | (F.col("end_char") > F.col("b")),
-        "child too large": F.col("token_count") > 360,
-        "edge blanks": F.col("text").rlike(r"(?U)^\s|\s\z"),
-        "not a slice": F.col("text") != F.substring("whole", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")),
-        "parent too large": F.col("up") > 1600,
-    }
-    one = both.agg(*[F.count_if(c).alias(k) for k, c in checks.items()])
-    return one.unpivot([], list(checks), "what", "n")
+    cut = chunking.chunk_documents(docs).toDF("id", "text", "ups", "downs")
+
+    def said(pieces):
+        """The text of pieces in order, each from where the last one ended."""
+        def new(p, i):
+            begin = F.greatest(F.when(i == 0, 0).otherwise(F.get(pieces, i - 1)["end_char"]), p["start_char"])
+            return F.substr("text", begin + 1, F.greatest(p["end_char"] - begin, F.lit(0)))
+
+        return F.sha2(F.regexp_replace(F.array_join(F.transform(pieces, new), ""), BLANKS, ""), 256)
+
+    def count(pieces, bad):
+        return F.size(F.filter(pieces, bad)).cast("long")
+
+    slice_ = lambda p: F.substr("text", p["start_char"] + 1, p["end_char"] - p["start_char"])
+    outside = count("downs", lambda c: ~F.exists("ups", lambda p: (p["ordinal"] == c["parent"]) & (c["start_char"] >= p["start_char"]) & (c["end_char"] <= p["end_char"])))
+    large = count("downs", lambda c: (c["token_count"] > 360) | (token_estimate(slice_(c)) != c["token_count"])) + count("ups", lambda p: (p["token_count"] > 1600) | (token_estimate(slice_(p)) != p["token_count"]))
+    edges = count("downs", lambda c: slice_(c).rlike(r"(?U)^\s|\s\z")) + count("ups", lambda p: slice_(p).rlike(r"(?U)^\s|\s\z"))
+    return cut.where(F.size("ups") > 0).select("id", said(F.col("ups")).alias("parents"), said(F.col("downs")).alias("children"), outside.alias("outside"), large.alias("too_large"), edges.alias("edge_blanks"))
 
 
 SQL_ITEMS = "(select id, any_value(question) as question, any_value(ground_truth_answer) as answer, any_value(evidence) as evidence from eval_items group by id)"
@@ -231,7 +246,13 @@ def both_sources_used(spark, d):
     return own.select("id", V.uses_both(F.col("ground_truth_answer"), F.col("evidence")[0]["quote"], F.col("evidence")[1]["quote"]).alias("both_used"))
 
 
-@query()
+@query(
+    rf"""with own as (select id, answer, regexp_extract_all(answer, '[\p{{L}}\p{{M}}\p{{N}}_.]+|[^\p{{L}}\p{{M}}\p{{N}}_.]+') as runs, regexp_extract_all(question, '[\p{{L}}\p{{M}}\p{{N}}_.]+') as known from {SQL_ITEMS} where question is not null and answer is not null),
+        old as (select *, list_filter(runs, lambda r: regexp_full_match(r, '[0-9]+([.][0-9]+)?') and list_contains(known, r)) as shared from own),
+        changes as (select *, list_transform(shared, lambda r: {{'o': r, 'n': case when contains(r, '.') then format('{{:g}}', case when r::double in (0, 1) then r::double + 2 else r::double * 2 end) else (case when r::hugeint in (0, 1) then r::hugeint + 2 else r::hugeint * 2 end)::varchar end}}) as c from old),
+        first as (select *, list_filter(c, lambda x: not list_contains(known, x.n))[1] as x from changes)
+        select id, case when x is not null then array_to_string(runs[:list_position(runs, x.o) - 1] || [x.n] || runs[list_position(runs, x.o) + 1:], '') end as statement, x.o as original, x.n as replacement from first"""
+)
 def perturbed_numbers(spark, d):
     own = items(spark, d).where("question is not null and ground_truth_answer is not null")
     return own.select("id", V.perturb_number(F.col("ground_truth_answer"), F.col("question")).alias("p")).select("id", "p.*")

@@ -51,7 +51,7 @@ def by_vector(c: Context, queries: DataFrame, k: int) -> DataFrame:
 def by_words(c: Context, queries: DataFrame, k: int) -> DataFrame:
     """Filters are above the search, so that statistics are those of all chunks."""
     r = c.settings.retrieval
-    a = Analyzer(r.compounds, r.camel_parts, r.stemming)
+    a = Analyzer.of(compound=r.compounds, camel=r.camel_parts, stem=r.stemming)
     text = T.embedding_input(F.col("metadata")["title"], F.col("section"), F.col("text")) if r.include_context else F.col("text")
     index = bm25.build(c.chunks, text, analyzer=a)
     keep = c.chunks.where(c.kept()).select(F.col("id").alias("chunk_id")) if c.filters else None

@@ -39,10 +39,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Scan partitions up to which a scan counts as small.
+SMALL_SCAN = 16
+
+
 def spread(scanned: DataFrame) -> DataFrame:
-    """A scan for work that is heavy per row: spread over all cores where its files give fewer partitions.
+    """A small scan for work that is heavy per row, spread over the cores.
 
-    Only for plans without a shuffle. A scan of many files or of large ones is left as it is.
+    Only a scan of at most SMALL_SCAN partitions is shuffled, so at most that many split sizes; any larger one is left as it is.
     """
     cores = scanned.sparkSession.sparkContext.defaultParallelism
-    return scanned.repartition(cores) if scanned.rdd.getNumPartitions() < cores else scanned
+    return scanned.repartition(cores) if scanned.rdd.getNumPartitions() < min(cores, SMALL_SCAN + 1) else scanned

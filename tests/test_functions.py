@@ -31,9 +31,9 @@ def test_estimate_golden_and_column(spark):
 def test_analyzer(spark):
     text = "The kube-apiserver and PodDisruptionBudget running v1.2"
     assert one(spark, Analyzer().terms(F.col("t")), t=text) == ["kube", "apiserver", "poddisruptionbudget", "running", "v1", "2", "kube-apiserver", "v1.2"]
-    full = one(spark, Analyzer(True, True, True).terms(F.col("t")), t=text)
+    full = one(spark, Analyzer.of(compound=True, camel=True, stem=True).terms(F.col("t")), t=text)
     assert full == ["kube", "apiserver", "poddisruptionbudget", "runn", "v1", "2", "kube-apiserver", "v1.2", "pod", "disruption", "budget"]
-    assert Analyzer().name() == "words+compound"
+    assert Analyzer().name == "words+compound"
 
 
 @pytest.mark.parametrize("word, stem", [("policies", "policy"), ("requires", "requir"), ("required", "requir"), ("requiring", "requir"), ("bed", "bed"), ("uses", "uses"), ("nodes", "node"), ("ties", "ties")])
@@ -88,12 +88,16 @@ def test_validators(spark, check, args, reason):
     assert row.select(check(*[F.col(f"c{i}") for i in range(len(args))]).alias("y")).first()["y"] == reason
 
 
-def test_perturbed_numbers():
-    assert V.perturbed("waits 30 seconds", "30 s") == ("waits 60 seconds", "30", "60")
-    assert V.perturbed("has 1 node", "1 and 2") == ("has 3 node", "1", "3")
-    assert V.perturbed("takes 0.5 s", "0.5") == ("takes 1 s", "0.5", "1")
-    assert V.perturbed("v1.2 only", "1.2") is None
-    assert V.perturbed("30 or 4", "30 60 4") == ("30 or 8", "4", "8")
+PERTURBED = [
+    ("waits 30 seconds", "30 s", ("waits 60 seconds", "30", "60")), ("has 1 node", "1 and 2", ("has 3 node", "1", "3")), ("takes 0.5 s", "0.5", ("takes 1 s", "0.5", "1")), ("v1.2 only", "1.2", None), ("30 or 4", "30 60 4", ("30 or 8", "4", "8")),
+    ("x30 then 30, 30.", "30", ("x30 then 60, 30.", "30", "60")), ("1234.5678 m", "1234.5678", ("2469.14 m", "1234.5678", "2469.14")), ("2500000.5", "2500000.5", ("5e+06", "2500000.5", "5e+06")), ("100.0", "100.0", ("200", "100.0", "200")), ("é30", "30", None), (None, "30", None), ("30", None, None), ("", "", None),
+]
+
+
+def test_perturbed_numbers(spark):
+    rows = spark.createDataFrame([(n, a, b) for n, (a, b, _) in enumerate(PERTURBED)], "n int, a string, b string")
+    got = rows.select("n", V.perturb_number(F.col("a"), F.col("b")).alias("p")).orderBy("n").collect()
+    assert [tuple(r["p"]) if r["p"]["statement"] is not None else None for r in got] == [want for *_, want in PERTURBED]
 
 
 def test_front_matter_and_sections():
