@@ -253,7 +253,7 @@ def languages(text: str) -> tuple[str, frozenset[str]]:
     if script != "latin":
         return script, frozenset()
     votes: dict[str, int] = {}
-    for w in text.lower().replace("'", " ").replace("’", " ").split():
+    for w in text.lower().replace("'", " ").replace("’", " ").replace("-", " ").split():
         for k in LANGUAGES.get(w.strip(",;:.!?()¿¡"), ()):
             votes[k] = votes.get(k, 0) + 1
     best = max(votes.values(), default=0)
