@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +18,14 @@ PLANNED = ("parent_child", "query_rewrite", "multi_query", "corrective", "self_r
 
 @dataclass
 class Context:
-    """What a strategy searches: chunks, settings, an embedder of a text column, and a scoring function."""
+    """What a strategy searches: chunks, settings, an embedder of a text column, a scoring function, and the indexes kept between searches."""
 
     chunks: DataFrame
     settings: Settings
     embed: Callable[[Column], Column] | None = None
     score: Callable[[Column, Column], Column] = fusion.term_overlap
-    filters: dict[str, str] | None = None
+    filters: dict | None = None
+    indexes: bm25.Registry = field(default_factory=bm25.Registry)
 
     def kept(self) -> Column:
         """Equality of metadata entries."""
@@ -53,7 +54,7 @@ def by_words(c: Context, queries: DataFrame, k: int) -> DataFrame:
     r = c.settings.retrieval
     a = Analyzer.of(compound=r.compounds, camel=r.camel_parts, stem=r.stemming)
     text = T.embedding_input(F.col("metadata")["title"], F.col("section"), F.col("text")) if r.include_context else F.col("text")
-    index = bm25.build(c.chunks, text, analyzer=a)
+    index = c.indexes.get(f"context={r.include_context}", c.chunks, text, a)
     keep = c.chunks.where(c.kept()).select(F.col("id").alias("chunk_id")) if c.filters else None
     return bm25.search(index, queries, k, a, r.k1, r.b, keep).withColumn("retriever", F.lit("bm25"))
 
