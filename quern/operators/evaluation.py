@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import random
 import statistics
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import overlap
+from quern.session import checkpointed
 
 KS = (1, 3, 5, 10, 20)
 CI_METRICS = ("evidence_recall@5", "evidence_recall@10", "mrr", "ndcg@10")
-#: Values that one task may hold for a bootstrap in the reference's random order; beyond that it is distributed.
+#: Values that one task may hold for a bootstrap in the order of one seeded generator.
 RESIDENT_VALUES = 1_000_000
 
 
@@ -109,56 +112,74 @@ def interval(values: list[float], samples: int = 2000, seed: int = 0) -> tuple[f
     return round(means[int(0.025 * samples)], 4), round(means[int(0.975 * samples) - 1], 4)
 
 
-def bootstrap(rows: DataFrame, samples: int = 2000, seed: int = 0) -> DataFrame:
-    """metric, n, low and high of values (metric, item_id, value) in item order.
+#: Shares of draws of at most 0, 1, 2, ... times: the Poisson distribution of mean 1.
+POISSON = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
 
-    Up to RESIDENT_VALUES values of a metric are resampled exactly like ``interval``. A metric with more is
-    resampled where its rows are, each row drawn a Poisson number of times per sample; only sums are shuffled.
+
+def draws(items: list[str], samples: int, seed: int) -> np.ndarray:
+    """How often each item is drawn in each sample, by its id, the sample and the seed alone."""
+    own = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in items], np.uint64)[:, None]
+    with np.errstate(over="ignore"):
+        z = own + np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(POISSON, (z >> np.uint64(11)) / 2.0**53)
+
+
+def bootstrap(rows: DataFrame, samples: int = 2000, seed: int = 0, method: str = "poisson") -> DataFrame:
+    """metric, n, low and high of values (metric, item_id, value): a percentile bootstrap of the mean.
+
+    "poisson" resamples where the rows are, each item drawn a number of times that only its id, the sample and the
+    seed decide, so it is the same however the rows are partitioned; only sums are shuffled. "resample" gives the
+    figures of ``interval`` in item order and holds a metric in one task, so it raises ValueError for more than RESIDENT_VALUES values.
     """
-    n = rows.groupBy("metric").agg(F.count("*").alias("n"))
-    large = [r["metric"] for r in n.where(F.col("n") > RESIDENT_VALUES).select("metric").limit(1000).collect()]
+    if method == "resample":
+        if not rows.groupBy("metric").count().where(F.col("count") > RESIDENT_VALUES).isEmpty():
+            raise ValueError(f"a metric has more than {RESIDENT_VALUES} values; use the poisson method")
 
-    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = interval(pdf.sort_values("item_id")["value"].tolist(), samples, seed)
-        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "n": [len(pdf)], "low": [low], "high": [high]})
+        def exact(pdf: pd.DataFrame) -> pd.DataFrame:
+            low, high = interval(pdf.sort_values("item_id")["value"].tolist(), samples, seed)
+            return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "n": [len(pdf)], "low": [low], "high": [high]})
 
-    kind = "metric string, n long, low double, high double"
-    small = rows.where(~F.col("metric").isin(large)) if large else rows
-    out = small.groupBy("metric").applyInPandas(exact, kind)
-    if not large:
-        return out
+        return rows.groupBy("metric").applyInPandas(exact, "metric string, n long, low double, high double")
+    if method != "poisson":
+        raise ValueError("method must be poisson or resample")
 
     def drawn(batches):
+        sums: dict[str, list] = {}
         for pdf in batches:
             for metric, own in pdf.groupby("metric"):
-                first = int.from_bytes(str(own["item_id"].iloc[0]).encode()[-6:], "big")
-                rng = np.random.default_rng([seed, first])
-                total, count = np.zeros(samples), np.zeros(samples)
-                for v in np.array_split(own["value"].to_numpy(), max(1, len(own) // 1000)):
-                    w = rng.poisson(1.0, (samples, len(v)))
-                    total += w @ v
-                    count += w.sum(1)
-                yield pd.DataFrame({"metric": metric, "n": len(own), "sample": np.arange(samples), "total": total, "count": count})
+                held = sums.setdefault(metric, [0, np.zeros(samples), np.zeros(samples)])
+                for a in range(0, len(own), 500):
+                    w = draws(own["item_id"].iloc[a : a + 500].astype(str).tolist(), samples, seed)
+                    held[0] += len(w)
+                    held[1] += own["value"].iloc[a : a + 500].to_numpy(float) @ w
+                    held[2] += w.sum(0)
+        for metric, (n, total, count) in sums.items():
+            yield pd.DataFrame({"metric": metric, "n": n, "sample": np.arange(samples), "total": total, "count": count})
 
-    parts = rows.where(F.col("metric").isin(large)).select("metric", "item_id", "value").mapInPandas(drawn, "metric string, n long, sample int, total double, count double")
-    means = parts.groupBy("metric", "sample").agg((F.sum("total") / F.sum("count")).alias("m"), F.sum("n").alias("n"))
-    lists = means.groupBy("metric").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("m")).alias("ms"))
-    return out.unionByName(lists.select("metric", "n", F.bround(F.col("ms")[int(0.025 * samples)], 4).alias("low"), F.bround(F.col("ms")[int(0.975 * samples) - 1], 4).alias("high")))
+    parts = rows.where("value is not null").select("metric", "item_id", "value").mapInPandas(drawn, "metric string, n long, sample int, total double, count double")
+    means = parts.groupBy("metric", "sample").agg((F.sum("total") / F.greatest(F.sum("count"), F.lit(1.0))).alias("m"), F.sum("n").alias("n"))
+    lists = means.groupBy("metric").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("m")).alias("ms"))  # ``samples`` numbers a metric
+    return lists.select("metric", "n", F.bround(F.col("ms")[int(0.025 * samples)], 4).alias("low"), F.bround(F.col("ms")[int(0.975 * samples) - 1], 4).alias("high"))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two runs (item_id, metric, value): means, difference and how many items each wins, by metric.
 
-    Raises ValueError unless both runs hold the same items and metrics.
+    Raises ValueError unless both runs hold the same items and metrics. Both are read once, in one full join.
     """
     keys = ["item_id", "metric"]
-    if not a.select(keys).exceptAll(b.select(keys)).isEmpty() or not b.select(keys).exceptAll(a.select(keys)).isEmpty():
-        raise ValueError("runs are not comparable: different items or metrics")
-    d = a.select(*keys, F.col("value").alias("x")).join(b.select(*keys, F.col("value").alias("y")), keys).withColumn("d", F.col("y") - F.col("x"))
-    return d.groupBy("metric").agg(
+    both = a.select(*keys, F.col("value").alias("x"), F.lit(1).alias("in_a")).join(b.select(*keys, F.col("value").alias("y"), F.lit(1).alias("in_b")), keys, "full").withColumn("d", F.col("y") - F.col("x"))
+    # One row per metric.
+    out = checkpointed(both.groupBy("metric").agg(
         F.bround(F.avg("x"), 4).alias("a"), F.bround(F.avg("y"), 4).alias("b"), F.bround(F.avg("d"), 4).alias("diff_b_minus_a"),
         F.count_if(F.col("d") > 0).alias("b_better"), F.count_if(F.col("d") < 0).alias("a_better"), F.count_if(F.col("d") == 0).alias("tied"),
-    )
+        F.count_if(F.col("in_a").isNull() | F.col("in_b").isNull()).alias("alone"),
+    ))
+    if not out.where("alone > 0").isEmpty():
+        raise ValueError("runs are not comparable: different items or metrics")
+    return out.drop("alone")
 
 
 def long_form(metrics: DataFrame, names: tuple[str, ...]) -> DataFrame:

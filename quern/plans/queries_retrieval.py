@@ -8,7 +8,7 @@ from quern.functions import text as T
 from quern.operators import bm25, dense, evaluation, fusion
 from quern.plans.catalogue import query
 from quern.plans.queries_text import SQL_ITEMS, SQL_TERMS, sql_content
-from quern.session import table
+from quern.session import checkpointed, table
 
 # The searched texts: distinct chunks behind the section they stand in. The stated queries: names of every 20th document.
 SQL_INDEX = f"""
@@ -200,19 +200,30 @@ COMPARED = ("evidence_recall@5", "evidence_recall@10", "mrr", "ndcg@10")
     + ") select metric, round_even(avg(x), 4) as a, round_even(avg(y), 4) as b, round_even(avg(y - x), 4) as diff_b_minus_a, count(*) filter (where round(y - x, 12) > 0) as b_better, count(*) filter (where round(y - x, 12) < 0) as a_better, count(*) filter (where round(y - x, 12) = 0) as tied from d group by metric"
 )
 def compared_runs(spark, d):
-    a, b = (evaluation.long_form(run(spark, d, r), COMPARED).withColumn("value", F.round("value", 12)) for r in ("dense", "bm25"))
-    common = a.select("item_id").intersect(b.select("item_id"))
+    a, b = paired(spark, d)
+    common = a.select("item_id").distinct().join(b.select("item_id").distinct(), "item_id", "left_semi")
     return evaluation.compare(a.join(common, "item_id", "left_semi"), b.join(common, "item_id", "left_semi"))
 
 
+def paired(spark, d):
+    """Two runs in long form, each evaluated once."""
+    return [checkpointed(evaluation.long_form(run(spark, d, r), COMPARED).withColumn("value", F.round("value", 12))) for r in ("dense", "bm25")]
+
+
 @query()
 def bootstrap_intervals(spark, d):
     return evaluation.bootstrap(evaluation.long_form(run(spark, d, "bm25"), evaluation.CI_METRICS))
 
 
+@query()
+def resampled_intervals(spark, d):
+    """By the seeded resampling of one ordered list, for evaluation sets of bounded size."""
+    return evaluation.bootstrap(evaluation.long_form(run(spark, d, "bm25"), evaluation.CI_METRICS), method="resample")
+
+
 @query()
 def paired_bootstrap(spark, d):
-    a, b = (evaluation.long_form(run(spark, d, r), COMPARED) for r in ("dense", "bm25"))
+    a, b = paired(spark, d)
     diffs = a.alias("a").join(b.alias("b"), ["item_id", "metric"]).select("item_id", "metric", (F.col("b.value") - F.col("a.value")).alias("value"))
     return evaluation.bootstrap(diffs)
 

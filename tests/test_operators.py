@@ -173,12 +173,16 @@ def test_bootstrap_and_comparison(spark, monkeypatch):
     rng = random.Random(2)
     values = [rng.random() for _ in range(300)]
     rows = spark.createDataFrame([("m", f"i{k:04d}", v) for k, v in enumerate(values)], "metric string, item_id string, value double")
-    got = evaluation.bootstrap(rows).first()
+    got = evaluation.bootstrap(rows, method="resample").first()
     low, high = evaluation.interval(values)
     assert (got["low"], got["high"]) == (low, high) and evaluation.interval([]) == (0.0, 0.0)
-    monkeypatch.setattr(evaluation, "RESIDENT_VALUES", 10)
     spread = evaluation.bootstrap(rows).first()
     assert spread["low"] == pytest.approx(low, abs=0.01) and spread["high"] == pytest.approx(high, abs=0.01) and spread["n"] == 300
+    assert evaluation.bootstrap(rows.repartition(7)).first() == spread
+    monkeypatch.setattr(evaluation, "RESIDENT_VALUES", 10)
+    for method in ("resample", "other"):
+        with pytest.raises(ValueError):
+            evaluation.bootstrap(rows, method=method)
     a = rows.where("item_id < 'i0004'")
     c = evaluation.compare(a, a.withColumn("value", F.col("value") + F.when(F.col("item_id") == "i0000", 0.5).otherwise(0))).first()
     assert (c["b_better"], c["a_better"], c["tied"]) == (1, 0, 3)
