@@ -30,7 +30,11 @@ from pyspark.sql import functions as F
 
 from quern.session import checkpointed
 
-DAMPING, STEPS = 0.85, 60
+DAMPING = 0.85
+#: The walk goes on until a step moves less probability than this within every query; damping bounds the steps by 171.
+TOLERANCE = 1e-12
+#: Scores that one task solves together, about.
+PACK_ROWS = 200_000
 RANKED = "query_id string, chunk_id string, rank int, weight double"
 
 
@@ -70,7 +74,8 @@ def walk(query: np.ndarray, chunk: np.ndarray, lists: np.ndarray, score: np.ndar
     x = start.copy()
     tie_first = np.flatnonzero(tie)
     last = np.r_[first[1:], n]
-    for _ in range(STEPS):
+    moving = 1.0
+    while moving > TOLERANCE:
         mine = x[item]
         sums = np.r_[np.cumsum((mine / reach)[::-1])[::-1], 0.0]  # from a place down, over all lists
         listed = np.add.reduceat(mine, first)
@@ -78,31 +83,29 @@ def walk(query: np.ndarray, chunk: np.ndarray, lists: np.ndarray, score: np.ndar
         outside = (per_query[q_list] - listed) / size
         got = sums[tie_first[of_tie]] - sums[last[of_list]] + outside[of_list]
         moved = np.bincount(item, got / n_lists[q_list[of_list]], len(x))
-        x = (1 - DAMPING) * start + DAMPING * moved
+        new_x = (1 - DAMPING) * start + DAMPING * moved
+        moving = np.bincount(q_item, np.abs(new_x - x), len(queries)).max() if len(x) else 0.0
+        x = new_x
     place = np.bincount(item, 1.0 - (reach - 1) / size[of_list], len(x)) / n_lists[q_item]
     return item_query, item_key[1], x, place
 
 
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each row holds one query with all its scores as lists."""
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        sizes = pdf["chunk_ids"].map(len).to_numpy()
-        query = np.repeat(np.arange(len(pdf)), sizes)
-        chunk, chunks = pd.factorize(np.concatenate(pdf["chunk_ids"].to_list()), sort=True)
-        lists, _ = pd.factorize(np.concatenate(pdf["lists"].to_list()))
-        q, c, x, place = walk(query, chunk, lists, np.concatenate(pdf["scores"].to_list()).astype(float))
-        weight = np.round(x, 12)
-        order = np.lexsort((c, -np.round(place, 9), -weight, q))
-        q, c, weight = q[order], c[order], weight[order]
-        new = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        rank = np.arange(len(q)) - np.repeat(new, np.diff(np.r_[new, len(q)])) + 1
-        yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[q], "chunk_id": np.asarray(chunks)[c], "rank": rank.astype("int32"), "weight": weight})
-
-
-def _solve_large(own: DataFrame, block: int) -> DataFrame:
-    """The same walk over (query_id, chunk_id, list, score) with DataFrames; its loop runs STEPS times."""
+def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rank the chunks of the queries of one pack of scores (query_id, chunk_id, list, score)."""
+    query, queries = pd.factorize(pdf["query_id"], sort=True)
+    chunk, chunks = pd.factorize(pdf["chunk_id"], sort=True)
+    lists, _ = pd.factorize(pdf["list"], sort=True)
+    q, c, x, place = walk(query, chunk, lists, pdf["score"].to_numpy(float))
+    weight = np.round(x, 12)
+    order = np.lexsort((c, -np.round(place, 9), -weight, q))
+    q, c, weight = q[order], c[order], weight[order]
+    new = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    rank = np.arange(len(q)) - np.repeat(new, np.diff(np.r_[new, len(q)])) + 1
+    return pd.DataFrame({"query_id": np.asarray(queries)[q], "chunk_id": np.asarray(chunks)[c], "rank": rank.astype("int32"), "weight": weight})
+
+
+def _solve_large(own: DataFrame, block: int, tolerance: float) -> DataFrame:
+    """The same walk over (query_id, chunk_id, list, score) with DataFrames, until ``tolerance`` is met."""
     by_list = ["query_id", "list"]
     # Places without a window over a whole list: score ties are counted, cut into blocks by quantiles, and
     # summed block by block; a block never holds more than its share of distinct scores.
@@ -118,34 +121,49 @@ def _solve_large(own: DataFrame, block: int) -> DataFrame:
     placed = checkpointed(own.join(ties, [*by_list, "score"]).join(F.broadcast(n_lists), "query_id"))
     x = checkpointed(placed.select("query_id", "chunk_id", "n_items").distinct().withColumn("x", 1 / F.col("n_items")))
     down = Window.partitionBy(*by_list).orderBy(F.desc("blk")).rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(STEPS):
+    moving = 1.0
+    while moving > tolerance:
         mine = placed.join(x.select("query_id", "chunk_id", "x"), ["query_id", "chunk_id"])
         tie = mine.groupBy(*by_list, "blk", "reach").agg(F.sum(F.col("x") / F.col("reach")).alias("s"), F.sum("x").alias("m"))
         lower = tie.groupBy(*by_list, "blk").agg(F.sum("s").alias("bs"), F.sum("m").alias("bm")).select(*by_list, "blk", F.coalesce(F.sum("bs").over(down), F.lit(0.0)).alias("lower"), F.sum("bm").over(Window.partitionBy(*by_list)).alias("listed"))
         sums = tie.join(lower, [*by_list, "blk"]).select(*by_list, "blk", "reach", "listed", (F.col("lower") + F.sum("s").over(Window.partitionBy(*by_list, "blk").orderBy(F.desc("reach")))).alias("got"))
         moved = placed.join(sums, [*by_list, "blk", "reach"]).groupBy("query_id", "chunk_id", "n_items").agg(F.sum((F.col("got") + (1 - F.col("listed")) / F.col("size")) / F.col("n_lists")).alias("moved"))
-        x = checkpointed(moved.select("query_id", "chunk_id", "n_items", ((1 - DAMPING) / F.col("n_items") + DAMPING * F.col("moved")).alias("x")))
+        former = x.select("query_id", "chunk_id", F.col("x").alias("former"))
+        x = checkpointed(moved.select("query_id", "chunk_id", "n_items", ((1 - DAMPING) / F.col("n_items") + DAMPING * F.col("moved")).alias("x")).join(former, ["query_id", "chunk_id"]))
+        moving = x.groupBy("query_id").agg(F.sum(F.abs(F.col("x") - F.col("former"))).alias("m")).agg(F.max("m")).first()[0] or 0.0
     place = placed.groupBy("query_id", "chunk_id").agg((F.sum(1 - (F.col("reach") - 1) / F.col("size")) / F.max("n_lists")).alias("place"))
     return x.join(place, ["query_id", "chunk_id"]).select("query_id", "chunk_id", F.round("x", 12).alias("weight"), F.round("place", 9).alias("place"))
 
 
-def rank_chunks(results: DataFrame, top: int | None = None, resident_rows: int = 20_000, block: int = 64) -> DataFrame:
-    """query_id, chunk_id, rank and weight of every scored chunk, or of each query's first ``top``."""
+def _ranked_large(solved: DataFrame) -> DataFrame:
+    """Ranks within queries of any size: rows are sorted in ranges, and a range's ranks begin after those before it."""
+    order = [F.desc("weight"), F.desc("place"), F.col("chunk_id")]
+    ranges = checkpointed(solved.repartitionByRange("query_id", *order).withColumn("range", F.spark_partition_id()))
+    counts = ranges.groupBy("query_id", "range").agg(F.count("*").alias("n"))  # a row per query and range
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("query_id").orderBy("range")) - F.col("n"))
+    inside = F.row_number().over(Window.partitionBy("query_id", "range").orderBy(*order))
+    return ranges.join(before, ["query_id", "range"]).select("query_id", "chunk_id", (F.col("before") + inside).cast("int").alias("rank"), "weight")
+
+
+def rank_chunks(results: DataFrame, top: int | None = None, resident_rows: int = 20_000, block: int = 64, tolerance: float = TOLERANCE) -> DataFrame:
+    """query_id, chunk_id, rank and weight of every scored chunk, or of each query's first ``top``.
+
+    Queries of up to ``resident_rows`` scores are dealt to packs of about PACK_ROWS scores each by a hash of their id, one
+    task per pack; larger ones are solved with DataFrames.
+    """
     own = checkpointed(scores(results))
     size = own.groupBy("query_id").agg(F.count("*").alias("n"))
     large = size.where(F.col("n") > resident_rows).select("query_id")
-    row = F.collect_list(F.struct("chunk_id", "list", "score")).alias("rows")
     any_large = not large.isEmpty()
     small = own
     if any_large:  # at most rows / resident_rows queries
         small = own.join(F.broadcast(large), "query_id", "left_anti")
-    packed = small.groupBy("query_id").agg(row).select("query_id", F.col("rows.chunk_id").alias("chunk_ids"), F.col("rows.list").alias("lists"), F.col("rows.score").alias("scores"))
-    ranked = packed.mapInPandas(_solve, RANKED)
+    packs = -(-own.count() // PACK_ROWS) or 1
+    pack = F.pmod(F.xxhash64("query_id"), F.lit(packs))
+    ranked = small.withColumn("pack", pack).groupBy("pack").applyInPandas(_solve, RANKED)
     if any_large:
-        solved = checkpointed(_solve_large(own.join(F.broadcast(large), "query_id"), block))
-        # row_number over a large query is limited on the map side where ``top`` is given.
-        w = Window.partitionBy("query_id").orderBy(F.desc("weight"), F.desc("place"), "chunk_id")
-        ranked = ranked.unionByName(solved.select("query_id", "chunk_id", F.row_number().over(w).alias("rank"), "weight"))
+        solved = checkpointed(_solve_large(own.join(F.broadcast(large), "query_id"), block, tolerance))
+        ranked = ranked.unionByName(_ranked_large(solved))
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 

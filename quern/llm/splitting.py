@@ -4,7 +4,7 @@ A text is divided into units: paragraphs, code blocks as far as they fit, senten
 where a sentence alone is too large. Between units the cosine of the words in the blocks before
 and after is taken; its valleys mark changes of topic. Within the window of sizes that a
 piece may have the deepest valley is cut, block and line boundaries being favoured. The next piece
-repeats whole units, or else words, of up to ``overlap`` tokens from before the cut.
+repeats whole units, or else the last lines, words or, in a run without blanks, characters, of up to ``overlap`` tokens from before the cut.
 
 Defined results: null, empty and small texts give no rows. Every piece has at most ``limit``
 tokens by the estimate; pieces cover all of the text but white space. A run without any
@@ -14,9 +14,9 @@ boundary is cut between characters. Rows repeated exactly give the same pieces o
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.tokens import costed, estimate
+from quern.functions.tokens import Ruler, estimate
 from quern.llm.sentences import Splitter, train
 
 BLOCK_UNITS = 6
@@ -34,6 +34,7 @@ CHARACTER, WORD, SENTENCE, LINE, BLOCK = range(5)
 FAVOUR = {CHARACTER: -4.0, WORD: -2.0, SENTENCE: 0.0, LINE: 0.3, BLOCK: 0.6}
 TERM = re.compile(r"[^\W\d_]{3,}|[぀-鿿]{2}|[฀-๿]{4}")
 BLANK = re.compile(r"\n[^\S\n]*\n\s*")
+LINE_START, WORD_START = re.compile(r"\n\s*(?=\S)"), re.compile(r"\s+(?=\S)")
 OPENING = re.compile(r"^[ ]{0,3}(```|~~~)")
 
 
@@ -64,26 +65,32 @@ def block_spans(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-class Costs:
-    """Tokens of any slice of a text from running sums over its pieces."""
+class Costs(Ruler):
+    """Tokens of any slice of a text, and the pieces of a slice."""
 
-    def __init__(self, text: str):
-        self.text = text
-        pieces_ = costed(text)
-        self.starts, self.ends = [p[0] for p in pieces_], [p[1] for p in pieces_]
-        self.sums = [0, *itertools.accumulate(p[2] for p in pieces_)]
-
-    def of(self, a: int, b: int) -> int:
-        i, j = bisect_left(self.starts, a), bisect_right(self.ends, b)
-        if i and self.ends[i - 1] > a or j < len(self.ends) and self.starts[j] < b:
-            return estimate(self.text, a, b)  # an end lies within a piece
-        return self.sums[max(i, j)] - self.sums[i]
+    of = Ruler.tokens
 
     def within(self, a: int, b: int) -> list[tuple[int, int, int]]:
         """Start, end and tokens of the pieces of a slice whose ends lie between pieces."""
         i, j = bisect_left(self.starts, a), bisect_right(self.ends, b)
         return [(self.starts[k], self.ends[k], self.sums[k + 1] - self.sums[k]) for k in range(i, j)]
 
+    def suffix(self, a: int, b: int, most: int) -> int:
+        """Where the longest suffix of text[a:b] of at most ``most`` tokens begins: at a line if one begins in it, else a word, else a character."""
+        low, high = a, b
+        while low < high:  # cost falls as the beginning moves on
+            mid = (low + high) // 2
+            if self.of(mid, b) <= most:
+                high = mid
+            else:
+                low = mid + 1
+        while low < b and (self.of(low, b) > most or unicodedata.combining(self.text[low]) or self.text[low].isspace()):
+            low += 1
+        if low == a or low >= b:
+            return low
+        m = LINE_START.search(self.text, low, b) or (None if self.text[low - 1].isspace() else WORD_START.search(self.text, low, b))
+        return m.end() if m and m.end() < b else low
+
 
 def units(text: str, limit: int, costs: Costs) -> list[tuple[int, int, int, int]]:
     """Start, end, tokens and closing boundary of units of at most ``limit`` tokens each."""
@@ -230,19 +237,16 @@ def pieces(text: str | None, limit: int, overlap: int) -> list[tuple[int, int, i
         first = last + 1
         if first >= len(own):
             break
-        # What the next piece repeats: whole units, else words of the last one.
+        # What the next piece repeats: whole units, else the end of the last one, from a line, word or character on.
         begin, held = own[first][0], 0
         k = last
         while k >= 0 and own[k][0] > out[-1][0] and held + own[k][2] <= overlap and own[k][3] != CHARACTER:
             begin, held = own[k][0], held + own[k][2]
             k -= 1
-        if begin == own[first][0] and own[last][3] != CHARACTER and not OPENING.match(text[own[last][0] :]):
-            for s, _, c in reversed(costs.within(own[last][0], own[last][1])):
-                if held + c > overlap or s <= out[-1][0]:
-                    break
-                held += c
-                if s == 0 or text[s - 1].isspace():
-                    begin = s
+        if begin == own[first][0] and overlap:
+            begin = costs.suffix(max(own[last][0], out[-1][0] + 1), own[last][1], overlap)
+            if begin >= own[last][1]:
+                begin = own[first][0]
         start = begin
     return out
 

@@ -96,6 +96,14 @@ def test_pieces(text):
     assert all(i in seen or c.isspace() for i, c in enumerate(text))
 
 
+@pytest.mark.parametrize("text", ["a" * 9000, "ab1" * 3000, "中文字符" * 900, "ระบบทำงานได้ดี" * 200, "中文。" * 900, "```\n" + "key: v\n" * 900 + "```", "word " * 2000, "First one goes on for a while, with commas, and more words than fit. " * 60])
+def test_every_gap_is_shared(text):
+    """Neighbouring pieces share up to the overlap, in scripts without blanks and in code too."""
+    got = splitting.pieces(text, 100, 20)
+    for (_, b, _), (c, _, _) in zip(got, got[1:]):
+        assert c < b and 1 <= estimate(text[c:b]) <= 20
+
+
 def test_pieces_of_small_and_null(spark):
     df = spark.createDataFrame([("a", "short", 1), ("b", None, 1), ("c", "word " * 300, 9), ("c", "word " * 300, 9), ("d", "", 0)], "id string, text string, ordinal int")
     assert [r["parent_id"] for r in splitting.oversized(df, 100, 20).collect()] == ["c"]
