@@ -1,24 +1,25 @@
 """Clean text from pieces that carry Markdown, HTML, wiki or LaTeX markup (problem 6).
 
-Code blocks and formulas are set aside first, so that nothing in them is taken for markup.
-HTML is parsed to a tree; its paragraphs pass points for length and commas to their parent and,
-halved, to their grandparent, discounted by the share of text in links; the best container and
-its siblings are kept, link-dense containers beside them are dropped. The other
-languages are rewritten line by line. Structure stays recognisable in a neutral form:
+Each language has a lexer. What the lexers find becomes marks in the text, and all marks together are parsed with a
+stack into one tree, whose nodes carry the language they come from: elements, headings, items, rows, links,
+emphasis, code blocks and formulas. Code blocks and formulas are taken out first, so that nothing in them is taken for markup.
+
+The tree is scored: paragraphs pass points for length and commas to their parent and, halved, to their grandparent,
+discounted by the share of text in links. The best container and what stands beside it or its ancestors is kept, but
+for HTML containers that are mostly links and score little. The languages of a piece are those of its nodes.
+Structure stays recognisable in a neutral form:
 
     [h2] heading    • item    (1) item    cells parted by tabs
     [code] and [/code] around code lines    [math] and [/math] around formulas
 
 Defined results: null stays null with no markup; blank text becomes empty. Text without
-markup comes back as it is, but for trailing blanks and runs of blank lines.
+markup comes back as it is, but for trailing blanks and runs of blank lines. Elements nested deeper than DEEPEST are not told apart.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,12 +38,15 @@ COMMANDS = "cite|citep|citet|ref|eqref|pageref|label|footnote|emph|textbf|textit
 MATH = "frac|dfrac|sqrt|sum|prod|int|cdot|cdots|ldots|times|div|pm|le|leq|ge|geq|neq|ne|approx|sim|equiv|infty|partial|nabla|alpha|beta|gamma|delta|epsilon|lambda|mu|sigma|theta|omega|pi|phi|rho|tau|log|ln|exp|min|max|lim|to|in|left|right|mathbf|mathrm|hat|bar|vec|quad"
 
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[^<>\n]*|\s*/)?)>")
+ELEMENT = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*|\s*/)?)>")
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|\A[^<\n]{0,80}-->[ ]*$", re.S | re.M)
 ENTITY = re.compile(r"&(?:[a-z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});")
 FENCE = re.compile(r"^[ ]{0,3}(?:```|~~~)[^\n`]*$", re.M)
 DRIVE = re.compile(r"(?<![A-Za-z])[A-Za-z]:\\\S*")
 CODE_LINE = re.compile(r"\s*(?:- )?[\w\"'./-]+:(?:\s|$)|\s+# |\s+- ")
-HELD = re.compile("\ue000(\\d+)\ue001")
+#: Private-use characters around the numbers of what is taken out, and of marks.
+PRIVATE = re.compile("[\ue000-\ue003\ue010\ue011]")
+MARK = re.compile("\ue000(\\d+)\ue001|\ue010(\\d+)\ue011")
 
 WIKI = re.compile(
     r"^[ ]*(?:\{\|[^\n]*$|\|\}[ ]*$|\|-[^\n|]*$|![ ]*[^!\s][^!\n]*!![^\n]*|\|[^\n]*\|\|)|\[\[(?![\s\]:-])[^\[\]\n]+\]\]|(?<!')'''(?!')|(?<![\w'`])''(?=[^'\s])[^\n']+?''(?!')"
@@ -74,17 +78,19 @@ class Held:
     """Text with its code blocks and formulas set aside, each behind a private-use mark."""
 
     def __init__(self, text: str):
-        self.parts: list[tuple[str, str]] = []
-        self.kinds: set[str] = set()
-        self.text = self._formulas(self._code(text.replace("\ue000", "").replace("\ue001", "")))
+        self.parts: list[tuple[str, str, str | None]] = []
+        self.text = self._formulas(self._code(PRIVATE.sub("", text)))
+
+    @property
+    def kinds(self) -> set[str]:
+        return {kind for _, _, kind in self.parts if kind}
 
-    def keep(self, form: str, content: str) -> str:
-        self.parts.append((form, content))
+    def keep(self, form: str, content: str, kind: str | None = None) -> str:
+        self.parts.append((form, content, kind))
         return f"\ue000{len(self.parts) - 1}\ue001"
 
     def _span(self, text: str, start: int, end: int, kind: str, content: str) -> str:
-        self.kinds.add(kind)
-        return text[:start] + "\n" + self.keep("code", content.strip("\n")) + "\n" + text[end:]
+        return text[:start] + "\n" + self.keep("code", content.strip("\n"), kind) + "\n" + text[end:]
 
     def _code(self, text: str) -> str:
         if "\\begin{" in text or "\\end{" in text:
@@ -145,27 +151,17 @@ class Held:
             return text
 
         def keep(m: re.Match) -> str:
-            self.kinds.add("latex")
             inner = re.sub(r"^(?:\\begin\{[a-z]+\*?\}|\\\[|\\\(|\$\$?)|(?:\\end\{[a-z]+\*?\}|\\\]|\\\)|\$\$?)$", "", m[0]).strip()
-            return self.keep("math", inner)
+            return self.keep("math", inner, "latex")
 
         text = re.sub(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)(\*?)\}.*?(?:\\end\{\1\2\}|\Z)", keep, text, flags=re.S)
         text = re.sub(r"\$\$[^$]+\$\$|(?<![\w:\\])\\\[(?=\s).*?\\\]|(?<![\w:\\])\\\((?=\s).*?\\\)", keep, text, flags=re.S)
         return re.sub(r"(?<![\w\\$])\$(?=[^\s$])[^$\n]*?(?:\\[a-z]+|[_^]\{)[^$\n]*?\$", keep, text)
 
-    def restore(self, text: str) -> str:
-        def back(m: re.Match) -> str:
-            form, content = self.parts[int(m[1])]
-            if form == "code":
-                return f"[code]\n{content}\n[/code]"
-            return f"[math] {re.sub(r'\s+', ' ', content)} [/math]"
-
-        return HELD.sub(back, text)
 
-
-def kinds_of(held: Held) -> set[str]:
-    """The languages whose markup a text carries, code blocks and formulas counting for their delimiters."""
-    t, found = held.text, set(held.kinds)
+def lexed(held: Held) -> set[str]:
+    """The languages of which a lexer finds something, code blocks and formulas counting for their delimiters."""
+    t, found = held.text, held.kinds
     if "<" in t or "&" in t or "-->" in t:
         if any(m[2].lower() in TAGS and not (m[2][0].isupper() and t[m.start() - 1 : m.start()].isalnum() and f"</{m[2]}" not in t) for m in TAG.finditer(t)) or COMMENT.search(t) or any(m[0][1] == "#" or html.unescape(m[0]) != m[0] for m in ENTITY.finditer(t)):
             found.add("html")
@@ -180,265 +176,359 @@ def kinds_of(held: Held) -> set[str]:
     return found
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "score")
+class Marks:
+    """What marks in a text stand for: an element opening, closing or without content, by name, language and attributes."""
 
-    def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
-        self.tag, self.attrs, self.parent, self.children, self.score = tag, attrs, parent, [], 0.0
+    def __init__(self) -> None:
+        self.known: dict[tuple, str] = {}
+        self.list: list[tuple[str, str, str, str]] = []
 
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+    def __call__(self, action: str, name: str, language: str, attributes: str = "") -> str:
+        key = (action, name, language, attributes)
+        if key not in self.known:
+            self.known[key] = f"\ue010{len(self.list)}\ue011"
+            self.list.append(key)
+        return self.known[key]
+
+    def around(self, name: str, language: str, inner: str) -> str:
+        return self("open", name, language) + inner + self("close", name, language)
+
+
+class Node:
+    __slots__ = ("name", "language", "attributes", "children", "parent", "score", "chars", "linked", "links")
 
-    def linked(self) -> int:
-        return sum(0 if isinstance(c, str) else len(c.text()) if c.tag == "a" else c.linked() for c in self.children)
+    def __init__(self, name: str, language: str | None = None, attributes: str = "", parent: Node | None = None):
+        self.name, self.language, self.attributes, self.parent = name, language, attributes, parent
+        self.children: list[Node | str] = []
+        self.score, self.chars, self.linked, self.links = 0.0, 0, 0, 0
 
     def density(self) -> float:
         """The share of text within links."""
-        return self.linked() / max(1, len(self.text().strip()))
+        return self.linked / max(1, self.chars)
+
+    def own(self) -> str:
+        return "".join(c for c in self.children if isinstance(c, str))
+
+
+DEEPEST = 200
+VOID = frozenset("br hr img input link meta wbr col".split())
+# What an element ends when it begins, up to the next list, table or container.
+ENDS = {"li": ("li",), "p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+CONTAINERS = frozenset("root div section article main td body html".split())
+PARAGRAPHS = frozenset("p pre li blockquote dd".split())
+# Containers that may be left out, and from which share of links on.
+BESIDE = {"nav": 0.3, "footer": 0.3, "aside": 0.3, "header": 0.3, "form": 0.3, "div": 0.6, "section": 0.6, "ul": 0.6, "ol": 0.6, "table": 0.6}
+UNSEEN = frozenset("script style head noscript meta link".split())
+
+
+def parsed(text: str, marks: Marks, held: Held, entities: bool) -> tuple[Node, list[Node]]:
+    """The tree of a marked text, and its nodes, each after its parent."""
+    root = at = Node("root")
+    nodes, depth, pos = [root], 0, 0
+
+    def child(name: str, language: str | None, attributes: str = "") -> Node:
+        node = Node(name, language, attributes, at)
+        at.children.append(node)
+        nodes.append(node)
+        return node
+
+    def words(upto: int) -> None:
+        if upto > pos:
+            at.children.append(html.unescape(text[pos:upto]) if entities else text[pos:upto])
+
+    for m in MARK.finditer(text):
+        words(m.start())
+        pos = m.end()
+        if m[1]:
+            form, content, language = held.parts[int(m[1])]
+            child(f"#{form}", language).children.append(content)
+            continue
+        action, name, language, attributes = marks.list[int(m[2])]
+        if action == "close":
+            up, n = at, depth
+            while up is not root and (up.name, up.language) != (name, language):
+                up, n = up.parent, n - 1
+            if up is not root:
+                at, depth = up.parent, n - 1
+            continue
+        for ended in ENDS.get(name, ()) if action == "open" else ():
+            up, n = at, depth
+            while up is not root and up.name not in ("ul", "ol", "table", "div", ended):
+                up, n = up.parent, n - 1
+            if up.name == ended:
+                at, depth = up.parent, n - 1
+        node = child(name, language, attributes)
+        if action == "open" and name not in VOID and depth < DEEPEST:
+            at, depth = node, depth + 1
+    words(len(text))
+    return root, nodes
+
+
+def scored(nodes: list[Node]) -> Node:
+    """Score the nodes and give the best one. Lengths are summed from the leaves up, points go from paragraphs up."""
+    for node in reversed(nodes):
+        node.chars += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if node.name == "a":
+            node.linked, node.links = node.chars, node.links + 1
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+            node.parent.links += node.links
+    for node in nodes:
+        if node.name in CONTAINERS:
+            said, up = node.own(), node
+        elif node.name in PARAGRAPHS:
+            said, up = "".join(c if isinstance(c, str) else c.own() for c in node.children), node.parent
+        else:
+            continue
+        if len(said.strip()) >= 25:
+            points = (1 + said.count(",") + said.count("，") + said.count("、") + min(len(said) / 100, 3)) * (1 - node.density())
+            up.score += points
+            if up.parent is not None:
+                up.parent.score += points / 2
+    for node in nodes:
+        node.score *= 1 - node.density()
+    return max(nodes, key=lambda n: n.score)
+
+
+def left_out(nodes: list[Node], best: Node) -> frozenset[int]:
+    """The nodes to leave out: HTML containers that are mostly links and score little, unless they hold the best one."""
+    if best.score <= 0:
+        return frozenset()
+    chain, up = set(), best
+    while up is not None:
+        chain.add(id(up))
+        up = up.parent
+    return frozenset(
+        id(n) for n in nodes if n.language == "html" and n.name in BESIDE and id(n) not in chain and n.links >= 2 and n.density() >= BESIDE[n.name] and n.score < 0.2 * best.score
+    )
+
+
+def render(root: Node, without: frozenset[int]) -> str:
+    """Text of a tree with its structure in the neutral form."""
+    out: list[str] = []
+    ordered: list[int] = []
 
+    def show(node: Node) -> None:
+        cells = 0
+        for c in node.children:
+            if isinstance(c, str):
+                out.append(c)
+                continue
+            name = c.name
+            if id(c) in without or c.language == "html" and name in UNSEEN:
+                continue
+            if name == "#code":
+                out.append(f"[code]\n{c.own()}\n[/code]")
+            elif name == "#math":
+                out.append(f"[math] {re.sub(r'\s+', ' ', c.own())} [/math]")
+            elif c.language != "html":
+                show(c)
+            elif name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                out.append(f"\n[{name}] ")
+                show(c)
+                out.append("\n")
+            elif name in ("ul", "ol"):
+                ordered.append(0 if name == "ol" else -1)
+                out.append("\n")
+                show(c)
+                ordered.pop()
+                out.append("\n")
+            elif name == "li":
+                if ordered and ordered[-1] >= 0:
+                    ordered[-1] += 1
+                    out.append(f"\n({ordered[-1]}) ")
+                else:
+                    out.append("\n• ")
+                show(c)
+            elif name in ("td", "th"):
+                if cells:
+                    out.append("\t")
+                cells += 1
+                at = len(out)
+                show(c)
+                out[at:] = [re.sub(r"\s*\n\s*", " ", "".join(out[at:])).strip()]
+            elif name in ("tr", "br", "hr"):
+                out.append("\n")
+                show(c)
+            elif name in ("p", "div", "table", "blockquote", "section", "article", "figure", "dl", "dt", "dd", "caption"):
+                out.append("\n")
+                show(c)
+                out.append("\n")
+            elif name == "img":
+                out.append((re.search(r"\balt=[\"']?(.*?)[\"']?(?=\s\w+=|$)", c.attributes) or ["", ""])[1])
+            else:
+                show(c)
 
-class Tree(HTMLParser):
-    """A forgiving tree of the elements in TAGS; everything else stays text."""
+    show(root)
+    return "".join(out)
 
-    VOID = frozenset("br hr img input link meta wbr col".split())
-    CLOSES = {"li": ("li",), "p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 
-    def __init__(self, text: str):
-        super().__init__(convert_charrefs=False)
-        self.root = self.at = Node("root")
-        # Only known elements reach the parser as tags.
-        text = COMMENT.sub("", text)
-        text = re.sub(r"<(?!/?(?:" + "|".join(sorted(TAGS, key=len, reverse=True)) + r")\b[^<>]*>)", "&lt;", text, flags=re.I)
-        self.feed(text)
-        self.close()
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        for closing in self.CLOSES.get(tag, ()):
-            node = self.at
-            while node is not self.root and node.tag not in ("ul", "ol", "table", "div", closing):
-                node = node.parent
-            if node.tag == closing:
-                self.at = node.parent
-        node = Node(tag, " ".join(f"{k}={v or ''}" for k, v in attrs), self.at)
-        self.at.children.append(node)
-        if tag not in self.VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.at.children.append(Node(tag, " ".join(f"{k}={v or ''}" for k, v in attrs), self.at))
-
-    def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.at = node.parent
-
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-    def handle_entityref(self, name: str) -> None:
-        self.at.children.append(html.unescape(f"&{name};"))
-
-    def handle_charref(self, name: str) -> None:
-        self.at.children.append(html.unescape(f"&#{name};"))
-
-    def nodes(self, node: Node | None = None) -> Iterator[Node]:
-        for c in (node or self.root).children:
-            if not isinstance(c, str):
-                yield c
-                yield from self.nodes(c)
-
-    def pruned(self) -> Node:
-        """The tree without link-dense containers beside the best one."""
-        for node in [self.root, *self.nodes()]:
-            own = "".join(c for c in node.children if isinstance(c, str)) if node.tag in ("root", "div", "section", "article", "td") else node.text() if node.tag in ("p", "pre", "li", "blockquote") else ""
-            if len(own.strip()) >= 25:
-                points = 1 + own.count(",") + own.count("，") + own.count("、") + min(len(own) / 100, 3)
-                up = node if node.tag in ("root", "div", "section", "article", "td") else node.parent
-                up.score += points
-                if up.parent is not None:
-                    up.parent.score += points / 2
-        every = [self.root, *self.nodes()]
-        for node in every:
-            node.score *= 1 - node.density()
-        best = max(every, key=lambda n: n.score)
-        beside = best.parent.children if best.parent else best.children
-        for node in [c for c in beside if not isinstance(c, str) and c is not best]:
-            # A sibling is kept unless it is mostly links and scores little.
-            if node.tag in ("nav", "div", "ul", "footer", "aside", "header", "section") and node.density() > 0.6 and node.score < 0.2 * best.score:
-                beside.remove(node)
-        return self.root
-
-
-def render(node: Node, out: list[str], ordered: list[int]) -> None:
-    """Text of a tree with its structure in the neutral form."""
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(c)
-        elif c.tag in ("script", "style", "head", "noscript", "meta", "link"):
-            continue
-        elif c.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            out.append(f"\n[h{c.tag[1]}] ")
-            render(c, out, ordered)
-            out.append("\n")
-        elif c.tag in ("ul", "ol"):
-            ordered.append(0 if c.tag == "ol" else -1)
-            out.append("\n")
-            render(c, out, ordered)
-            ordered.pop()
-            out.append("\n")
-        elif c.tag == "li":
-            if ordered and ordered[-1] >= 0:
-                ordered[-1] += 1
-                out.append(f"\n({ordered[-1]}) ")
-            else:
-                out.append("\n• ")
-            render(c, out, ordered)
-        elif c.tag in ("td", "th"):
-            if any(not isinstance(x, str) and x.tag in ("td", "th") for x in node.children[: node.children.index(c)]):
-                out.append("\t")
-            cell: list[str] = []
-            render(c, cell, ordered)
-            out.append(re.sub(r"\s*\n\s*", " ", "".join(cell)).strip())
-        elif c.tag in ("tr", "br", "hr"):
-            out.append("\n")
-            render(c, out, ordered)
-        elif c.tag in ("p", "div", "table", "blockquote", "section", "article", "figure", "dl", "dt", "dd", "caption"):
-            out.append("\n")
-            render(c, out, ordered)
-            out.append("\n")
-        elif c.tag == "img":
-            out.append((re.search(r"\balt=(.*?)(?=\s\w+=|$)", c.attrs) or ["", ""])[1])
-        else:
-            render(c, out, ordered)
+def mark_html(text: str, mark: Marks) -> str:
+    """Known elements as marks; comments, and what stands in elements that are not shown, go."""
+    text = COMMENT.sub(mark("void", "comment", "html"), text)
+    text = re.sub(r"(?is)<(script|style|head|noscript)\b[^<>]*>.*?</\1\s*>", mark("void", "unseen", "html"), text)
 
+    def element(m: re.Match) -> str:
+        name = m[2].lower()
+        if name not in TAGS:
+            return m[0]
+        if m[1]:
+            return mark("close", name, "html")
+        rest = m[3].strip()
+        return mark("void" if name in VOID or rest.endswith("/") else "open", name, "html", rest.rstrip("/").strip() if name == "img" else "")
+
+    return ELEMENT.sub(element, text)
 
-def from_html(text: str) -> str:
-    out: list[str] = []
-    render(Tree(text).pruned(), out, [])
-    return "".join(out).replace("\xa0", " ")
 
+def joined(lines: list[str | tuple[str]]) -> str:
+    """Lines, and marks alone in a tuple, which go before the line that follows."""
+    out, before = [], ""
+    for line in lines:
+        if isinstance(line, tuple):
+            before += line[0]
+        else:
+            out.append(before + line)
+            before = ""
+    if before:
+        out = [*out[:-1], out[-1] + before] if out else [before]
+    return "\n".join(out)
 
-def from_wiki(text: str) -> str:
-    text = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|</?(?:ref|references|nowiki)\b[^<>]*>", "", text, flags=re.S)
-    text = re.sub(r"\[\[(?:File|Image|Category|Datei|Fichier|Archivo|Kategorie)\s*:[^\[\]\n]*\]\]\n?", "", text, flags=re.I)
-    text = re.sub(r"\[\[(?![\s-])(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]", r"\1", text)
-    text = re.sub(r"(?<!\])\[https?://[^\s\]]+ ([^\]\n]+)\](?!\()", r"\1", text)
+
+def mark_wiki(text: str, mark: Marks) -> str:
+    gone = mark("void", "reference", "wiki")
+    text = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|</?(?:ref|references|nowiki)\b[^<>]*>", gone, text, flags=re.S)
+    text = re.sub(r"\[\[(?:File|Image|Category|Datei|Fichier|Archivo|Kategorie)\s*:[^\[\]\n]*\]\]\n?", gone, text, flags=re.I)
+    link = lambda m: mark.around("a", "wiki", m[1])
+    text = re.sub(r"\[\[(?![\s-])(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]", link, text)
+    text = re.sub(r"(?<!\])\[https?://[^\s\]]+ ([^\]\n]+)\](?!\()", link, text)
 
     def template(m: re.Match) -> str:
         name, *args = m[1].split("|")
         named = [tuple(y.strip() for y in a.split("=", 1)) for a in args if "=" in a]
-        if named:
-            return "\n".join([name.strip(), *("\t".join(x) for x in named)])
-        return args[-1].strip() if args else ""
-
-    for _ in range(3):
-        text = re.sub(r"\{\{(?![\s{%.])([^{}]*)\}\}", template, text)
-    text = re.sub(r"'{2,5}", "", text)
-    out, caption = [], False
+        said = "\n".join([name.strip(), *("\t".join(x) for x in named)]) if named else args[-1].strip() if args else ""
+        return mark("void", "template", "wiki") + said
+
+    inner = re.compile(r"\{\{(?![\s{%.])([^{}]*)\}\}")
+    while inner.search(text):  # from the innermost out; every round takes a pair of braces away
+        text = inner.sub(template, text)
+    text = re.sub(r"'{2,5}", mark("void", "b", "wiki"), text)
+    out: list = []
     for line in text.split("\n"):
         if m := re.fullmatch(r"(={1,6})[ ]?([^=].*?)\1[ ]*", line):
-            line = f"[h{len(m[1])}] {m[2].strip()}"
+            line = mark("void", "heading", "wiki") + f"[h{len(m[1])}] {m[2].strip()}"
         elif re.match(r"\s*(?:\{\||\|\}|\|-|\}\}|__[A-Z]+__)", line):
-            continue
+            line = (mark("void", "table", "wiki"),)
         elif re.match(r"\s*!", line) and ("!!" in line or not re.search(r"[.!?]\s*$", line)):
-            line = "\t".join(x.strip() for x in re.split(r"!!|\|\|", line.strip()[1:]))
+            line = mark("void", "row", "wiki") + "\t".join(x.strip() for x in re.split(r"!!|\|\|", line.strip()[1:]))
         elif re.match(r"\|\+", line):
-            line = line[2:].strip()
+            line = mark("void", "row", "wiki") + line[2:].strip()
         elif "||" in line and line.lstrip().startswith("|"):
-            line = "\t".join(x.strip() for x in line.strip()[1:].split("||"))
+            line = mark("void", "row", "wiki") + "\t".join(x.strip() for x in line.strip()[1:].split("||"))
         elif m := re.fullmatch(r"\|[ ]*(\w[\w ]*?)[ ]*=[ ]*(.*)", line):
-            line = f"{m[1]}\t{m[2]}"
+            line = mark("void", "row", "wiki") + f"{m[1]}\t{m[2]}"
         out.append(line)
-    return "\n".join(out)
+    return joined(out)
 
 
-def from_latex(text: str) -> str:
-    kept: list[str] = []
+def mark_latex(text: str, mark: Marks) -> str:
+    paths: list[str] = []
 
     def keep(m: re.Match) -> str:
-        kept.append(m[0])
-        return f"\ue002{len(kept) - 1}\ue003"
+        paths.append(m[0])
+        return f"\ue002{len(paths) - 1}\ue003"
 
     text = DRIVE.sub(lambda m: m[0] if "{" in m[0] or "](" in m[0] else keep(m), text)
     level = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "subparagraph": 6}
-    text = re.sub(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{([^{}\n]*)\}", lambda m: f"\n[h{level[m[1]]}] {m[2]}\n", text)
+    text = re.sub(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{([^{}\n]*)\}", lambda m: f"\n{mark('void', 'heading', 'latex')}[h{level[m[1]]}] {m[2]}\n", text)
     number: list[int] = []
-    out = []
+    out: list = []
     for line in text.split("\n"):
         if m := re.search(r"\\(begin|end)\{(itemize|enumerate|description|center|document|figure|table|tabular|quote|abstract)\*?\}(?:\[[^\]]*\]|\{[^{}]*\})*", line):
             if m[1] == "begin":
                 number.append(0 if m[2] == "enumerate" else -1)
             elif number:
                 number.pop()
+            out.append((mark("void", m[2], "latex"),))
             line = line.replace(m[0], "")
             if not line.strip():
                 continue
         if m := re.match(r"\s*\\item(?![A-Za-z\\])(?:\[([^\]]*)\])?\s*", line):
             rest = (f"{m[1]} " if m[1] else "") + line[m.end() :]
+            item = mark("void", "item", "latex")
             if number and number[-1] >= 0:
                 number[-1] += 1
-                line = f"({number[-1]}) {rest}"
+                line = f"{item}({number[-1]}) {rest}"
             else:
-                line = f"• {rest}"
+                line = f"{item}• {rest}"
         out.append(line)
-    text = "\n".join(out)
-    text = re.sub(r"[ ~]?\\(?:cite|citep|citet|ref|eqref|pageref|label|usepackage|documentclass|includegraphics|input)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}", "", text)
-    for _ in range(3):
-        text = re.sub(r"\\\\?(?:emph|textbf|textit|texttt|textsc|underline|footnote|caption|title|author|date|url|text|verb|href)\{([^{}\n]*)\}", r"\1", text)
-    text = re.sub(r"\\(?:begin|end)\{[a-zA-Z]+\*?\}|\\(?:maketitle|tableofcontents|newpage|noindent|centering)\b", "", text)
-    if re.search(rf"\\(?:{MATH})(?![A-Za-z\\])", text):  # a formula whose delimiters lie outside
-        text = "\n".join(f"[math] {x.strip()} [/math]" if re.search(rf"\\(?:{MATH})(?![A-Za-z\\])", x) and "[math]" not in x else x for x in text.split("\n"))
+    text = joined(out)
+    gone = mark("void", "command", "latex")
+    text = re.sub(r"[ ~]?\\(?:cite|citep|citet|ref|eqref|pageref|label|usepackage|documentclass|includegraphics|input)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}", gone, text)
+    styled = re.compile(r"\\\\?(?:emph|textbf|textit|texttt|textsc|underline|footnote|caption|title|author|date|url|text|verb|href)\{([^{}\n]*)\}")
+    while styled.search(text):  # from the innermost out
+        text = styled.sub(lambda m: mark.around("emphasis", "latex", m[1]), text)
+    text = re.sub(r"\\(?:begin|end)\{[a-zA-Z]+\*?\}|\\(?:maketitle|tableofcontents|newpage|noindent|centering)\b", gone, text)
+    loose = re.compile(rf"\\(?:{MATH})(?![A-Za-z\\])")
+    if loose.search(text):  # a formula whose delimiters lie outside
+        text = "\n".join(f"{mark('void', 'formula', 'latex')}[math] {x.strip()} [/math]" if loose.search(x) and "[math]" not in x else x for x in text.split("\n"))
         text = re.sub(r"(?m)^\s*\\[\[\]]\s*$", "", text)
     text = re.sub(r"\\([%&#_{}$])", r"\1", text)
-    return re.sub("\ue002(\\d+)\ue003", lambda m: kept[int(m[1])], text)
+    return re.sub("\ue002(\\d+)\ue003", lambda m: paths[int(m[1])], text)
 
 
-def from_markdown(text: str) -> str:
-    text = re.sub(r"(?m)^[ ]{0,3}\[[^\]\n^]+\]:[ ]+\S+.*\n?", "", text)
-    text = INLINE[6].sub(lambda m: re.match(r"!?\[([^\[\]\n]*)\]", m[0])[1], text)
-    text = re.sub(r"(?m)^([^\n|]*\S)\n(={3,}|-{3,})[ ]*$", lambda m: f"[h{1 if m[2][0] == '=' else 2}] {m[1]}", text)
-    out = []
+def mark_markdown(text: str, mark: Marks) -> str:
+    void = lambda name: mark("void", name, "markdown")
+    text = re.sub(r"(?m)^[ ]{0,3}\[[^\]\n^]+\]:[ ]+\S+.*\n?", void("definition"), text)
+    text = INLINE[6].sub(lambda m: mark.around("a", "markdown", re.match(r"!?\[([^\[\]\n]*)\]", m[0])[1]), text)
+    text = re.sub(r"(?m)^([^\n|]*\S)\n(={3,}|-{3,})[ ]*$", lambda m: f"{void('heading')}[h{1 if m[2][0] == '=' else 2}] {m[1]}", text)
+    out: list = []
     for line in text.split("\n"):
         if m := re.match(r"[ ]{0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*(?:\{#[\w-]+\})?[ ]*$", line):
-            line = f"[h{len(m[1])}] {m[2]}"
+            line = f"{void('heading')}[h{len(m[1])}] {m[2]}"
         elif re.match(r"^\|?[ ]*:?-{3,}:?[ ]*\|[-:| ]*$", line) or re.fullmatch(r"[ ]{0,3}(?:\*[ ]?){3,}", line):
-            continue
+            line = (void("rule"),)
         elif m := re.match(r"([ ]{0,6})[-+*][ \t]+(?=\S)", line):
-            line = f"{m[1]}• {line[m.end() :]}"
+            line = f"{m[1]}{void('item')}• {line[m.end() :]}"
         elif m := re.match(r"([ ]{0,6})(\d{1,3})[.)][ \t]+(?=\S)", line):
-            line = f"{m[1]}({m[2]}) {line[m.end() :]}"
+            line = f"{m[1]}{void('item')}({m[2]}) {line[m.end() :]}"
         elif m := re.match(r"[ ]{0,3}(?:>[ \t]?)+", line):
-            line = line[m.end() :]
+            line = void("quote") + line[m.end() :]
         elif re.match(r"^\|(?!\|)(?:[^\n|]+\|){2,}[ ]*$", line):
-            line = "\t".join(x.strip() for x in line.strip().strip("|").split("|"))
-        out.append(re.sub(r"[ ]*\{#[\w-]+\}[ ]*$", "", line))
-    text = "\n".join(out)
+            line = void("row") + "\t".join(x.strip() for x in line.strip().strip("|").split("|"))
+        out.append(re.sub(r"[ ]*\{#[\w-]+\}[ ]*$", "", line) if isinstance(line, str) else line)
+    text = joined(out)
     for p, n in ((INLINE[0], 2), (INLINE[1], 2), (INLINE[4], 2), (INLINE[5], 1), (INLINE[2], 1), (INLINE[3], 1)):
-        text = p.sub(lambda m, n=n: m[0][n:-n], text)
+        text = p.sub(lambda m, n=n: mark.around("emphasis", "markdown", m[0][n:-n]), text)
     return text
 
 
+def tree_of(text: str) -> tuple[Node, list[Node]]:
+    """The tree of a text, and its nodes. What a lexer finds and no rule marks is a node of its own."""
+    held, mark = Held(text), Marks()
+    found, t = lexed(held), held.text
+    for language, rule in (("html", mark_html), ("wiki", mark_wiki), ("latex", mark_latex), ("markdown", mark_markdown)):
+        if language in found:
+            t = rule(t, mark)
+    root, nodes = parsed(t, mark, held, "html" in found)
+    for language in sorted(found - {n.language for n in nodes}):
+        nodes.append(Node("token", language, "", root))
+        root.children.append(nodes[-1])
+    return root, nodes
+
+
 def convert(text: str | None) -> tuple[str | None, list[str]]:
     """Clean text, and the languages whose markup was in it."""
     if text is None:
         return None, []
-    held = Held(text)
-    kinds = kinds_of(held)
-    t = held.text
-    if "html" in kinds:
-        t = from_html(t)
-    if "wiki" in kinds:
-        t = from_wiki(t)
-    if "latex" in kinds:
-        t = from_latex(t)
-    if "markdown" in kinds:
-        t = from_markdown(t)
-    t = held.restore(t)
+    root, nodes = tree_of(text)
+    languages = {n.language for n in nodes}
+    t = render(root, left_out(nodes, scored(nodes)) if "html" in languages else frozenset())
+    if "html" in languages:
+        t = t.replace("\xa0", " ")
     t = re.sub(r"[ \t]+(?=\n|$)", "", t)
     t = re.sub(r"\n{3,}", "\n\n", t).strip("\n ")
-    return t, [k for k in KINDS if k in kinds]
+    return t, [k for k in KINDS if k in languages]
 
 
 CLEANED = "clean_text string, markups array<string>"

@@ -139,7 +139,7 @@ def test_markup(text, kinds):
         import re
 
         body = re.sub(r"\[(code|math)\].*?\[/\1\]", "", clean, flags=re.S)
-        assert not markup.kinds_of(markup.Held(body))
+        assert not markup.lexed(markup.Held(body))
 
 
 def test_structure_is_kept():
@@ -155,6 +155,31 @@ def test_structure_is_kept():
     assert markup.convert(None) == (None, [])
 
 
+ARTICLE = "<p>" + "Real text, with commas, goes on here. " * 8 + "</p>"
+MENU = "<ul>" + "".join(f'<li><a href="/{i}">menu entry {i}</a></li>' for i in range(9)) + "</ul>"
+
+
+def test_only_the_article_is_kept():
+    """Navigation in a wrapper before it and link lists in another after it go; its own heading, list, table and code stay."""
+    inner = f"<h1>Title</h1>{ARTICLE}<ul><li>one point</li><li>another <a href='/x'>point</a></li></ul><table><tr><td>a</td><td>b</td></tr></table><pre>x = 1</pre>"
+    page = f"<body><div class=top><div><nav>{MENU}</nav></div></div><div><div>{inner}</div><p>A short end.</p></div><div><div>{MENU}</div><footer>Legal <a href='/l'>notice</a> <a href='/p'>privacy</a></footer></div></body>"
+    clean, kinds = markup.convert(page)
+    assert kinds == ["html"] and "menu entry" not in clean and "privacy" not in clean
+    for part in ("[h1] Title", "Real text", "• one point", "• another point", "a\tb", "[code]\nx = 1\n[/code]", "A short end."):
+        assert part in clean
+    assert "menu entry 3" in markup.convert(MENU)[0]  # nothing else to keep
+
+
+def test_deep_nesting_and_all_languages_in_one_tree():
+    assert markup.convert("<div>" * 5000 + "text" + "</div>" * 5000)[0] == "text"
+    assert "deep" in markup.convert("{{a|" * 300 + "deep" + "}}" * 300)[0]
+    text = "# Head\n\n<p>para</p>\n\n'''bold''' [[link|shown]]\n\n\\emph{word} and $x_{1} \\le 3$"
+    root, nodes = markup.tree_of(text)
+    assert {"markdown", "html", "wiki", "latex"} <= {n.language for n in nodes}
+    clean, kinds = markup.convert(text)
+    assert kinds == list(markup.KINDS) and clean.startswith("[h1] Head") and "bold shown" in clean and "word and [math] x_{1} \\le 3 [/math]" in clean
+
+
 SENTENCES = [
     ("One. Two.", ["One.", "Two."]), ("See Dr. Smith vs. 3.5 others. Next.", ["See Dr. Smith vs. 3.5 others.", "Next."]), ("It takes 3 ms. The rest.", ["It takes 3 ms.", "The rest."]), ("Ms. Smith came. He left.", ["Ms. Smith came.", "He left."]), ("Cats, dogs, etc. We go.", ["Cats, dogs, etc.", "We go."]), ("He said “Stop. Now.” and left. Then.", ["He said “Stop. Now.” and left.", "Then."]),
     ("“Is it?” asks he. Yes.", ["“Is it?” asks he.", "Yes."]), ("It ends.\n\nno stop\n\nNew.", ["It ends.", "no stop", "New."]), ("hard\nwrapped line. More", ["hard\nwrapped line.", "More"]), ("(All is skipped.) Next.", ["(All is skipped.)", "Next."]),
