@@ -40,7 +40,7 @@ OPENING = re.compile(r"^[ ]{0,3}(```|~~~)")
 
 @functools.cache
 def splitter() -> Splitter:
-    """Sentence boundaries by the built-in reliable cases alone, so that no corpus is needed."""
+    """Sentence boundaries by the built-in examples alone, so that no corpus is needed."""
     return train([])
 
 
