@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "l2", "inner_product")
-#: Queries that go to every task at once; more are answered in several passes of this size.
-QUERY_BLOCK = 20_000
+#: Queries that go to every task at once. More of them are cut into blocks of this size, and the rows into blocks of ROW_BLOCK.
+QUERY_BLOCK, ROW_BLOCK = 20_000, 50_000
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
@@ -55,32 +55,40 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
         return spark.createDataFrame([], schema + ", rank int")
     usable = F.size("embedding") == dims
     asked = queries.where(usable).select("query_id", "embedding")
-    n = asked.count()
     own = chunks.where(usable).select("chunk_id", "embedding")
-    out = None
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for block in range(blocks):  # a stated query set against all rows, in blocks of bounded size
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        pdf = part.toPandas()
-        ids, q = pdf["query_id"].to_numpy(), np.array(pdf["embedding"].tolist(), float).reshape(-1, dims)
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
+    n = asked.count()
+
+    def matched(ids: np.ndarray, q: np.ndarray, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The k best of some rows for some queries, and all that tie with the k-th, so that ties can be settled by id."""
+        v = np.array(rows["embedding"].tolist(), float).reshape(-1, dims)
+        names = rows["chunk_id"].to_numpy()
+        for a in range(0, len(q) if len(v) else 0, 512):
+            s = np.round(scores(q[a : a + 512], v, metric), 6)
+            s[np.isnan(s)] = -np.inf
+            kept = min(k, s.shape[1])
+            least = -np.partition(-s, kept - 1, 1)[:, kept - 1]
+            i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            yield pd.DataFrame({"query_id": ids[a + i], "chunk_id": names[j], "score": s[i, j]})
+
+    if n <= QUERY_BLOCK:  # so few that every task can hold them: the rows are only scanned
+        pdf = asked.toPandas()
+        sent = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(), np.array(pdf["embedding"].tolist(), float).reshape(-1, dims)))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
-                v = np.array(rows["embedding"].tolist(), float).reshape(-1, dims)
-                names = rows["chunk_id"].to_numpy()
-                for a in range(0, len(q), 512):
-                    s = np.round(scores(q[a : a + 512], v, metric), 6)
-                    s[np.isnan(s)] = -np.inf
-                    kept = min(k, s.shape[1])
-                    # All that tie with the k-th stay, so that ties can be settled by id.
-                    least = -np.partition(-s, kept - 1, 1)[:, kept - 1] if kept else np.zeros(len(s))
-                    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-                    yield pd.DataFrame({"query_id": ids[a + i], "chunk_id": names[j], "score": s[i, j]})
-
-        found = own.mapInPandas(best, schema)
-        out = found if out is None else out.unionByName(found)
+                yield from matched(*sent.value, rows)
+
+        out = own.mapInPandas(best, schema)
+    else:  # both sides in blocks, every pair of blocks being a task; nothing passes through the driver
+        of_q, of_d = -(-n // QUERY_BLOCK), max(1, -(-own.count() // ROW_BLOCK))
+        left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(of_q))).withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of_d - 1).cast("long"))))
+        right = own.withColumn("db", F.pmod(F.xxhash64("chunk_id"), F.lit(of_d))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of_q - 1).cast("long"))))
+
+        def tile(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            found = list(matched(q["query_id"].to_numpy(), np.array(q["embedding"].tolist(), float).reshape(-1, dims), rows))
+            return pd.concat(found) if found else pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": rows["chunk_id"][:0], "score": pd.Series(dtype=float)})
+
+        out = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(tile, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -12,6 +12,7 @@ from quern.config import Settings
 from quern.functions import text as T
 from quern.functions.markdown import Section
 from quern.operators import chunking
+from quern.session import stored as stored_table
 
 #: Document metadata that every chunk carries, so that filters need no join.
 CHUNK_METADATA = ("title", "url", "doc_category", "corpus")
@@ -24,6 +25,8 @@ class Tables:
     chunks: DataFrame
     #: source, document_id, status, parents, chunks, error of every document given
     results: DataFrame
+    #: The pieces of new documents as they were cut, in a table of ``quern.session.stored``
+    pieces: DataFrame
 
 
 def fingerprinted(documents: DataFrame, settings: Settings) -> DataFrame:
@@ -69,7 +72,8 @@ def ingest(loaded: DataFrame, settings: Settings = Settings(), stored: DataFrame
         rows = [chunking.chunk(t, [Section(s["start"], s["end"], tuple(s["heading_path"]), s["page"]) for s in own], size) for t, own in zip(texts, sections)]
         return pd.DataFrame(rows, columns=["parents", "children"])
 
-    pieces = new.select(F.col("document_id").alias("id"), "text", "name", "source_type", "metadata", cut("text", "sections").alias("c")).select("id", "text", "name", "source_type", "metadata", "c.parents", "c.children")
+    # Cut once; parents, children and counts are read from what is stored.
+    pieces = stored_table(new.select(F.col("document_id").alias("id"), "text", "name", "source_type", "metadata", cut("text", "sections").alias("c")).select("id", "text", "name", "source_type", "metadata", "c.parents", "c.children"))
     parents = chunking.parent_rows(pieces).withColumn("created_at", now)
     chunks = chunking.child_rows(pieces).join(pieces.select(F.col("id").alias("document_id"), "name", chunk_metadata(F.col("metadata"), F.col("source_type")).alias("metadata")), "document_id")
     seen = T.embedding_input(F.col("name"), F.col("section"), F.col("text")) if settings.embedding.include_context else F.col("text")
@@ -83,7 +87,7 @@ def ingest(loaded: DataFrame, settings: Settings = Settings(), stored: DataFrame
     counts = pieces.select(F.col("id").alias("document_id"), F.size("parents").alias("parents"), F.size("children").alias("chunks"))
     done = good.select("source", "document_id", "status").join(counts, "document_id", "left").select("source", "document_id", "status", F.coalesce("parents", F.lit(0)).alias("parents"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.lit(None).cast("string").alias("error"))
     other = loaded.where("status <> 'loaded'").select("source", F.lit(None).cast("string").alias("document_id"), "status", F.lit(0).alias("parents"), F.lit(0).alias("chunks"), "error")
-    return Tables(documents, parents, chunks.drop("name"), done.unionByName(other))
+    return Tables(documents, parents, chunks.drop("name"), done.unionByName(other), pieces)
 
 
 def upsert(stored: DataFrame, new: DataFrame, document: str = "document_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -10,34 +11,101 @@ from pyspark.sql import functions as F
 
 from quern import __version__
 from quern.config import Settings
-from quern.operators import generation, ingest
+from quern.operators import bm25, generation, ingest
 from quern.plans import registry
 from quern.schema import CHUNKS, DOCUMENTS, PARENT_CHUNKS
+from quern.session import checkpointed, discard
 from quern.sources import files
 
 
 class Engine:
-    """Tables documents, parent_chunks and chunks below ``folder``; each write replaces a table by a new version."""
+    """Tables documents, parent_chunks and chunks below ``folder``.
 
-    NAMES = {"documents": DOCUMENTS, "parent_chunks": PARENT_CHUNKS, "chunks": CHUNKS}
-
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), embed: Callable[[Column], Column] | None = None, call: Callable = generation.offline):
-        self.spark, self.folder, self.settings, self.embed, self.call = spark, folder.rstrip("/"), settings, embed, call
-
-    def _versions(self, name: str) -> list[str]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(x.getPath().toString() for x in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))) if fs.exists(path) else []
-
-    def table(self, name: str) -> DataFrame:
-        """The newest complete version of a table, or an empty one."""
-        found = self._versions(name)
-        return self.spark.read.schema(self.NAMES[name]).parquet(found[-1]) if found else self.spark.createDataFrame([], self.NAMES[name])
+    Rows lie in ``buckets`` directories by a hash of their document. A write makes new directories for the buckets it
+    touches, and then one commit file, which names the live directories of all three tables: readers see all of a write or
+    nothing. Directories that the last KEPT commits do not name are removed. Of two writers at once the later
+    fails, as its commit is taken.
+    """
 
-    def _write(self, name: str, rows: DataFrame) -> None:
-        n = len(self._versions(name))
-        rows.write.parquet(f"{self.folder}/{name}/v{n:08d}-{uuid.uuid4().hex[:8]}")
+    NAMES = {"documents": DOCUMENTS, "parent_chunks": PARENT_CHUNKS, "chunks": CHUNKS}
+    KEYS = {"documents": "id", "parent_chunks": "document_id", "chunks": "document_id"}
+    KEPT = 2
+
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), embed: Callable[[Column], Column] | None = None, call: Callable = generation.offline, buckets: int = 64):
+        self.spark, self.folder, self.settings, self.embed, self.call, self.buckets = spark, folder.rstrip("/"), settings, embed, call, buckets
+        self.indexes = bm25.Registry()
+
+    def _at(self, path: str):
+        """A path of Hadoop and its file system."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _commits(self) -> list[tuple[int, dict]]:
+        """Number and content of all complete commits, oldest first."""
+        at, fs = self._at("commits")
+        if not fs.exists(at):
+            return []
+        out = []
+        for status in fs.listStatus(at):
+            name = status.getPath().getName()
+            stream = fs.open(status.getPath())
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if text.endswith("}\n"):  # else it is being written
+                out.append((int(name.split(".")[0]), json.loads(text)))
+        return sorted(out, key=lambda x: x[0])
+
+    def _next(self) -> int:
+        """One more than any commit, whole or of a writer that died."""
+        at, fs = self._at("commits")
+        return 1 + max((int(s.getPath().getName().split(".")[0]) for s in (fs.listStatus(at) if fs.exists(at) else ())), default=0)
+
+    def live(self) -> dict[str, dict[str, str]]:
+        """Directory by bucket of every table, as of the last commit."""
+        commits = self._commits()
+        return commits[-1][1] if commits else {name: {} for name in self.NAMES}
+
+    def table(self, name: str, buckets: set[str] | None = None) -> DataFrame:
+        """A table as of the last commit, or some of its buckets."""
+        paths = [f"{self.folder}/{path}" for bucket, path in sorted(self.live()[name].items()) if buckets is None or bucket in buckets]
+        return self.spark.read.schema(self.NAMES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], self.NAMES[name])
+
+    def bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("string")
+
+    def replace(self, ids: DataFrame, rows: dict[str, DataFrame]) -> None:
+        """In every table the rows of the documents ``ids`` (document_id) give way to ``rows``; only the buckets of these documents are written."""
+        touched = {r[0] for r in ids.select(self.bucket("document_id")).distinct().collect()}  # at most ``buckets``
+        live, number = self.live(), self._next()
+        for name, new in rows.items():
+            key, columns = self.KEYS[name], [c.split(" ")[0] for c in self.NAMES[name].split(", ")]
+            kept = self.table(name, touched).join(ids.select(F.col("document_id").alias(key)), key, "left_anti")
+            path = f"{name}/v{number:08d}-{uuid.uuid4().hex[:8]}"
+            both = kept.select(columns).unionByName(new.select(columns)).withColumn("bucket", self.bucket(key))
+            both.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{path}")
+            at, fs = self._at(path)
+            written = {s.getPath().getName().split("=")[1] for s in fs.listStatus(at) if "=" in s.getPath().getName()}
+            live[name] = {b: p for b, p in live[name].items() if b not in touched} | {b: f"{path}/bucket={b}" for b in written}
+        at, fs = self._at(f"commits/{number:08d}.json")
+        out = fs.create(at, False)
+        out.write((json.dumps(live) + "\n").encode())
+        out.close()
+        self._clean()
+
+    def _clean(self) -> None:
+        """Remove the directories and commits that the last commits do not name."""
+        commits = self._commits()
+        named = {p.split("/bucket=")[0] for _, live in commits[-self.KEPT :] for own in live.values() for p in own.values()}
+        for name in self.NAMES:
+            at, fs = self._at(name)
+            for s in fs.listStatus(at) if fs.exists(at) else ():
+                if f"{name}/{s.getPath().getName()}" not in named:
+                    fs.delete(s.getPath(), True)
+        for number, _ in commits[: -self.KEPT]:
+            at, fs = self._at(f"commits/{number:08d}.json")
+            fs.delete(at, False)
 
     def health(self) -> dict:
         """status ok, or degraded with the failing component."""
@@ -53,18 +121,14 @@ class Engine:
 
     def ingest(self, found: DataFrame, preprocess: Callable[[str], str] | None = None) -> DataFrame:
         """Load, cut and store files (source, content); the result rows of quern.operators.ingest."""
-        from quern.session import checkpointed
-
         loaded = checkpointed(files.load_files(found, preprocess))
-        stored = self.table("documents").select("id", F.col("metadata")["fingerprint"].alias("fingerprint"))
-        t = ingest.ingest(loaded, self.settings, stored, self.embed)
+        known = self.table("documents").select("id", F.col("metadata")["fingerprint"].alias("fingerprint"))
+        t = ingest.ingest(loaded, self.settings, known, self.embed)
         results = checkpointed(t.results)
-        if not results.where("status in ('created', 'updated')").isEmpty():
-            ids = results.where("status in ('created', 'updated')").select(F.col("document_id"))
-            for name, rows, key in (("parent_chunks", t.parents, "document_id"), ("chunks", t.chunks, "document_id"), ("documents", t.documents, "id")):
-                kept = self.table(name).join(ids.withColumnRenamed("document_id", key), key, "left_anti")
-                columns = self.table(name).columns
-                self._write(name, kept.select(columns).unionByName(rows.select(columns)))
+        changed = results.where("status in ('created', 'updated')").select("document_id")
+        if not changed.isEmpty():
+            self.replace(changed, {"parent_chunks": t.parents, "chunks": t.chunks, "documents": t.documents})
+        discard(t.pieces)
         return results
 
     def upload(self, sent: list[tuple[str, bytes]]) -> DataFrame:
@@ -85,7 +149,7 @@ class Engine:
         if top_k is not None and not 1 <= top_k <= 50:
             raise ValueError("top_k must be within 1 and 50")
         asked = self.spark.createDataFrame([("q", text)], "query_id string, query string")
-        c = registry.Context(self.table("chunks"), self.settings, self.embed, filters=filters)
+        c = registry.Context(self.table("chunks"), self.settings, self.embed, filters=filters, indexes=self.indexes)
         found = registry.retrieve(c, asked, top_k, strategy).withColumn("title", F.col("metadata")["title"])
         answers = generation.answer(asked, found, self.call, self.settings.generation.retries)
         cited = generation.citations(answers).drop("query_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.config import Chunking, Retrieval, Settings
 from quern.functions.markdown import Section, sections
 from quern.functions.tokens import estimate
-from quern.operators import bm25, chunking, dataset, dense, evaluation, fusion, generation
+from quern.operators import ann, bm25, chunking, dataset, dense, evaluation, fusion, generation
 from quern.plans import registry
 from quern.plans.service import Engine
 from quern.sources import datasets, files
@@ -27,6 +27,38 @@ def test_bm25_golden(spark):
     assert [(r["chunk_id"], r["score"]) for r in kept] == [("d1", rows[1]["score"])]
 
 
+@pytest.mark.parametrize("metric", dense.METRICS)
+def test_inverted_file(spark, metric, monkeypatch):
+    """Exact with all cells, near to it with some, filtered before ranking; also with queries in blocks."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 16))
+    v = centres[rng.integers(0, 8, 600)] + 0.3 * rng.normal(size=(600, 16))
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(999, None)], "chunk_id long, embedding array<double>")
+    q = rows.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    exact = {(r["query_id"], r["chunk_id"]) for r in dense.search(rows, q, 10, metric, 16).collect()}
+    index = ann.build(rows, metric, 16, cell_rows=50)
+    assert len(index.centres) == 12 and index.rows.count() == 600
+    monkeypatch.setattr(ann, "CELL_QUERIES", 2)
+    whole = {(r["query_id"], r["chunk_id"]) for r in ann.search(index, q, 10, 12).collect()}
+    assert whole == exact
+    near = {(r["query_id"], r["chunk_id"]) for r in ann.search(index, q, 10, 4).collect()}
+    assert len(near & exact) >= 0.9 * len(exact)
+    kept = ann.search(index, q, 10, 12, keep=rows.where("chunk_id < 100")).collect()
+    assert {r["chunk_id"] for r in kept} <= set(range(100)) and len(kept) == 10 * q.count()
+
+
+@pytest.mark.parametrize("metric", dense.METRICS)
+def test_dense_in_blocks(spark, metric, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(90, 8)))], "chunk_id long, embedding array<double>")
+    q = rows.where("chunk_id < 25").withColumnRenamed("chunk_id", "query_id")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    want = key(dense.search(rows, q, 4, metric, 8))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(dense, "ROW_BLOCK", 20)
+    assert key(dense.search(rows, q, 4, metric, 8)) == want
+
+
 @pytest.mark.parametrize("metric", dense.METRICS)
 def test_dense_is_exact(spark, metric):
     rng = np.random.default_rng(1)
@@ -122,6 +154,10 @@ def test_engine_end_to_end(spark, tmp_path):
     assert {r["status"] for r in engine.ingest(found.where("source <> 'c.txt'")).collect()} == {"unchanged"}
     changed = spark.createDataFrame([("b.txt", b"Buoys mark the fairway now.")], "source string, content binary")
     assert engine.ingest(changed).first()["status"] == "updated"
+    # Only the bucket of the changed document was written anew, and both versions of it are kept.
+    (_, before), (_, after) = engine._commits()
+    moved = {(n, b) for n in after for b in after[n] if before[n].get(b) != after[n][b]}
+    assert len({b for _, b in moved}) == 1 and {n for n, _ in moved} == set(engine.NAMES)
     assert engine.documents().count() == 2 and engine.health()["status"] == "ok"
     assert "fairway" in " ".join(r["text"] for r in engine.table("chunks").collect())
     answer = engine.query("What do buoys mark?")
@@ -136,6 +172,20 @@ def test_engine_end_to_end(spark, tmp_path):
     assert engine.query("traffic", "bm25", filters={"source_type": "txt"})["contexts"] == []
 
 
+def test_a_write_is_seen_whole_or_not(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "t"), buckets=4)
+    put = lambda text: engine.ingest(spark.createDataFrame([(f"{n}.txt", f"{text} {n}".encode()) for n in range(8)], "source string, content binary"))
+    put("one")
+    (tmp_path / "t" / "commits" / "00000002.json").write_text('{"documents"')  # a writer that died
+    assert engine.table("chunks").count() == 8
+    put("two")
+    assert {r["text"].split()[0] for r in engine.table("chunks").collect()} == {"two"}
+    for text in ("three", "four", "five"):
+        put(text)
+    assert {r["text"].split()[0] for r in engine.table("chunks").collect()} == {"five"}
+    assert len(list((tmp_path / "t" / "chunks").iterdir())) == Engine.KEPT
+
+
 def test_stream_ingest_repeats_nothing(spark, tmp_path):
     from quern.streaming.ingest import watch
 
