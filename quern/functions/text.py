@@ -172,6 +172,11 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"`([A-Za-z-][\w.\-/=]{3,40})`"), 1)
 
 
+def capitalized(text: Column) -> Column:
+    """Words with a capital that do not begin the text or a sentence, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<=[a-z0-9,;:)] )([A-Z][A-Za-z]{2,})"), 1))
+
+
 def doc_links(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\]\((/docs/[a-z0-9/_-]+?)/?(?:#[^)]*)?\)"), 1)
 

@@ -226,11 +226,26 @@ def merged_stats(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def token_audit(chunks: DataFrame, limit: int, estimated: Column | None = None) -> DataFrame:
-    """How stored token counts relate to the estimate: median, 5th and 95th percentile of the ratio, largest count and how many exceed ``limit``."""
+    """How stored token counts relate to the estimate: median, 5th and 95th percentile of the ratio (4 digits), largest count and how many exceed ``limit``.
+
+    Percentiles lie at p * (n + 1), between neighbours by linear interpolation, and within the ends. Equal ratios are counted first, so what
+    is ordered are the few distinct ones.
+    """
     e = token_estimate(F.col("text")) if estimated is None else estimated
-    own = chunks.where("token_count > 0").select("token_count", (e / F.col("token_count")).alias("ratio"))
-    q = F.percentile_approx("ratio", [0.05, 0.5, 0.95], 10_000)
-    return own.agg(F.count("*").alias("chunks"), q.alias("q"), F.max("token_count").alias("largest"), F.count_if(F.col("token_count") > limit).alias("over_limit")).select("chunks", F.col("q")[0].alias("p5"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), "largest", "over_limit")
+    own = chunks.where("token_count > 0").select("token_count", F.round(e / F.col("token_count"), 4).alias("ratio")).where("ratio is not null")
+    counts = own.groupBy("ratio").agg(F.count("*").alias("c"))
+    n = counts.agg(F.sum("c").alias("n"), F.max("ratio").alias("top"), F.min("ratio").alias("low"))
+    places = counts.join(F.broadcast(n), F.lit(True)).withColumn("upto", F.sum("c").over(Window.orderBy("ratio").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def at(p: float) -> Column:
+        place = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), p * (F.col("n") + 1)))
+        down, part = F.floor(place), place - F.floor(place)
+        value = lambda k: F.min(F.when(F.col("upto") >= k, F.col("ratio")))
+        return F.round(value(down) * (1 - F.max(part)) + value(F.least(down + 1, F.col("n"))) * F.max(part), 4)
+
+    ratios = places.agg(F.max("n").alias("chunks"), at(0.05).alias("p5"), at(0.5).alias("median"), at(0.95).alias("p95"))
+    sizes = own.agg(F.max("token_count").alias("largest"), F.count_if(F.col("token_count") > limit).alias("over_limit"))
+    return ratios.join(sizes, F.lit(True))
 
 
 def pools(chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import random
 import statistics
+import time
+from collections.abc import Callable
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -182,6 +185,39 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.drop("alone")
 
 
+def report(search: Callable[[DataFrame, int], DataFrame], items: DataFrame, chunks: DataFrame, ks: tuple[int, ...] = KS, **about: str) -> tuple[dict, DataFrame]:
+    """(report, per query) of a search (queries, k) -> ranked rows over items (id, question, question_type, difficulty, evidence).
+
+    The report: means of all metrics over all items and by type, intervals, counts, items without evidence, spans that no
+    chunk covers, seconds of the whole batch and per query, and whatever ``about`` names (dataset, version, config). Items are
+    searched as one batch after a warm-up, so latency is the batch's share.
+    """
+    scored = items.where(F.size("evidence") > 0)
+    queries = scored.select(F.col("id").alias("query_id"), F.col("question").alias("query"))
+    search(queries.limit(1), 1).count()  # loads what a first call loads
+    began = time.perf_counter()
+    found = checkpointed(search(queries, max(ks)).select(F.col("query_id").alias("item_id"), "chunk_id", "document_id", "rank"))
+    took = time.perf_counter() - began
+    evidence = checkpointed(spans(scored))
+    labels = checkpointed(span_labels(evidence, chunks))
+    metrics = checkpointed(ranking_metrics(found, labels, evidence, tuple(sorted(set(ks)))))
+    names = tuple(c for c in metrics.columns if c != "item_id")
+    types = scored.select(F.col("id").alias("item_id"), "question_type")
+    means = [r.asDict() for r in metric_means(metrics, types, names).collect()]  # a row per type
+    n, every = metrics.count(), items.count()
+    unmapped = evidence.select("item_id", "span").join(labels.select("item_id", "span").distinct(), ["item_id", "span"], "left_anti").count()
+    ci = {r["metric"]: [r["low"], r["high"]] for r in bootstrap(long_form(metrics, tuple(m for m in CI_METRICS if m in names))).collect()}
+    own = lambda r: {k: r[k] for k in names}
+    out = {
+        **about, "created_at": datetime.now(timezone.utc).isoformat(), "ks": sorted(set(ks)), "n_evaluated": n, "n_excluded_no_evidence": every - n, "unmapped_evidence_spans": unmapped,
+        "overall": next((own(r) for r in means if r["question_type"] is None), {}), "overall_ci95": ci, "by_type": {r["question_type"]: own(r) for r in means if r["question_type"] is not None},
+        "counts_by_type": {r["question_type"]: r["n"] for r in means if r["question_type"] is not None}, "latency_s": {"batch": round(took, 5), "mean": round(took / max(1, n), 5)},
+    }
+    listed = found.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved_chunk_ids"))
+    relevant = labels.groupBy("item_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant_chunk_ids"))
+    return out, metrics.join(types, "item_id").join(listed, "item_id", "left").join(relevant, "item_id", "left")
+
+
 def long_form(metrics: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """item_id, metric and value."""
     return metrics.unpivot("item_id", [F.col(f"`{n}`") for n in names], "metric", "value")

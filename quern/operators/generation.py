@@ -58,7 +58,7 @@ def with_retry(call: Callable[[str, str], Reply], retries: int, cap_s: float = 3
             except Retryable as e:
                 if attempt == retries:
                     raise
-                sleep(e.after if e.after is not None else rng.uniform(0, min(cap_s, 2.0**attempt)))
+                sleep(min(cap_s, e.after) if e.after is not None else rng.uniform(0, min(cap_s, 2.0**attempt)))
         raise AssertionError
 
     return tried

@@ -130,7 +130,14 @@ def usage_cost(spark, d):
     return u.select("question_type", "llm_calls", "input_tokens", "output_tokens", F.round("estimated_cost_usd", 6).alias("estimated_cost_usd"), F.array_join("unpriced_models", ",").alias("unpriced"))
 
 
-@query()
+@query(
+    f"""with own as (select row_number() over () as key, text, token_count from chunks where token_count > 0 and text is not null), {SQL_ESTIMATE.strip()},
+        rated as (select token_count, round(coalesce(tokens, 0) / token_count, 4) as ratio from own left join estimates using (key)),
+        listed as (select list_sort(list(ratio)) as r, count(*) as n, max(token_count) as largest, count(*) filter (where token_count > 360) as over_limit from rated)
+        select n as chunks, """
+    + ", ".join(f"(select round(r[floor(p)::int] * (1 - (p - floor(p))) + r[least(floor(p)::int + 1, n)] * (p - floor(p)), 4) from (select greatest(1, least(n, {q} * (n + 1))) as p)) as {name}" for q, name in ((0.05, "p5"), (0.5, "median"), (0.95, "p95")))
+    + ", largest, over_limit from listed"
+)
 def token_audit(spark, d):
     return dataset.token_audit(table(spark, d, "chunks"), 360)
 

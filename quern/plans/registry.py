@@ -16,6 +16,27 @@ from quern.operators import bm25, dense, fusion
 PLANNED = ("parent_child", "query_rewrite", "multi_query", "corrective", "self_reflective", "claim_verification")
 
 
+def _containing(wanted: object) -> Callable[[Column], Column]:
+    return lambda entry: contains(entry, wanted)
+
+
+def contains(value: Column, wanted: object, path: str = "$") -> Column:
+    """Whether a text, or the JSON in it, contains what is wanted: equal values, all entries of a list, all fields of an object."""
+    if isinstance(wanted, dict):
+        out = F.lit(True)
+        for k, v in wanted.items():
+            out = out & contains(value, v, f"{path}['{k}']")
+        return out
+    if isinstance(wanted, (list, tuple)):
+        entries = F.from_json(F.get_json_object(value, path), "array<string>")
+        out = entries.isNotNull()
+        for v in wanted:
+            out = out & F.exists(entries, _containing(v))
+        return F.coalesce(out, F.lit(False))
+    plain = str(wanted).lower() if isinstance(wanted, bool) else str(wanted)
+    return F.coalesce((value if path == "$" else F.get_json_object(value, path)) == plain, F.lit(False))
+
+
 @dataclass
 class Context:
     """What a strategy searches: chunks, settings, an embedder of a text column, a scoring function, and the indexes kept between searches."""
@@ -28,10 +49,10 @@ class Context:
     indexes: bm25.Registry = field(default_factory=bm25.Registry)
 
     def kept(self) -> Column:
-        """Equality of metadata entries."""
+        """Metadata that contains all filters; a filter may be a value, a list or an object, as deep as wanted."""
         out = F.lit(True)
         for k, v in (self.filters or {}).items():
-            out = out & (F.col("metadata")[k] == v)
+            out = out & contains(F.col("metadata")[k], v)
         return out
 
     def distinct(self) -> DataFrame:

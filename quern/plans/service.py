@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import __version__
 from quern.config import Settings
+from quern.functions import text as T
 from quern.operators import bm25, generation, ingest
 from quern.plans import registry
 from quern.schema import CHUNKS, DOCUMENTS, PARENT_CHUNKS
@@ -18,6 +21,14 @@ from quern.session import checkpointed, discard
 from quern.sources import files
 
 
+class ServiceError(RuntimeError):
+    """A failure with the HTTP status that tells whose it is."""
+
+    def __init__(self, status: int, message: str):
+        super().__init__(message)
+        self.status = status
+
+
 class Engine:
     """Tables documents, parent_chunks and chunks below ``folder``.
 
@@ -72,6 +83,20 @@ class Engine:
         paths = [f"{self.folder}/{path}" for bucket, path in sorted(self.live()[name].items()) if buckets is None or bucket in buckets]
         return self.spark.read.schema(self.NAMES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], self.NAMES[name])
 
+    def init(self, drop: bool = False) -> None:
+        """Commit empty tables if there are none; with ``drop`` whatever is there is removed first."""
+        if drop:
+            at, fs = self._at("")
+            fs.delete(at, True)
+        if not self._commits():
+            self._commit({name: {} for name in self.NAMES}, self._next())
+
+    def _commit(self, live: dict, number: int) -> None:
+        at, fs = self._at(f"commits/{number:08d}.json")
+        out = fs.create(at, False)
+        out.write((json.dumps(live) + "\n").encode())
+        out.close()
+
     def bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("string")
 
@@ -88,10 +113,7 @@ class Engine:
             at, fs = self._at(path)
             written = {s.getPath().getName().split("=")[1] for s in fs.listStatus(at) if "=" in s.getPath().getName()}
             live[name] = {b: p for b, p in live[name].items() if b not in touched} | {b: f"{path}/bucket={b}" for b in written}
-        at, fs = self._at(f"commits/{number:08d}.json")
-        out = fs.create(at, False)
-        out.write((json.dumps(live) + "\n").encode())
-        out.close()
+        self._commit(live, number)
         self._clean()
 
     def _clean(self) -> None:
@@ -142,20 +164,47 @@ class Engine:
         """Documents with their number of chunks, by source; limit within 1..1000."""
         return list_documents(self.table("documents"), self.table("chunks"), limit, offset)
 
-    def query(self, text: str, strategy: str | None = None, top_k: int | None = None, filters: dict[str, str] | None = None, with_text: bool = False) -> dict:
-        """One question answered from the tables: answer, citations, contexts, usage."""
-        if not 1 <= len(text) <= 2000:
-            raise ValueError("a query has 1 to 2000 characters")
-        if top_k is not None and not 1 <= top_k <= 50:
-            raise ValueError("top_k must be within 1 and 50")
-        asked = self.spark.createDataFrame([("q", text)], "query_id string, query string")
-        c = registry.Context(self.table("chunks"), self.settings, self.embed, filters=filters, indexes=self.indexes)
-        found = registry.retrieve(c, asked, top_k, strategy).withColumn("title", F.col("metadata")["title"])
+    def query(self, text: str, strategy: str | None = None, top_k: int | None = None, filters: dict | None = None, with_text: bool = False) -> dict:
+        """One question answered from the tables: answer, citations with labels, contexts by rank, usage and timings.
+
+        Raises ServiceError: 422 for bad arguments, 501 for a planned strategy, 503 if an embedder or a reranker fails, 502 if the
+        language model does.
+        """
+        name = strategy or self.settings.retrieval.strategy
+        try:
+            if not 1 <= len(text) <= 2000:
+                raise ValueError("a query has 1 to 2000 characters")
+            if top_k is not None and not 1 <= top_k <= 50:
+                raise ValueError("top_k must be within 1 and 50")
+            began = time.perf_counter()
+            asked = self.spark.createDataFrame([("q", text)], "query_id string, query string")
+            c = registry.Context(self.table("chunks"), self.settings, self.embed, filters=filters, indexes=self.indexes)
+            found = registry.retrieve(c, asked, top_k, name).withColumn("title", F.col("metadata")["title"])
+            found = checkpointed(found)
+        except NotImplementedError as e:
+            raise ServiceError(501, str(e)) from e
+        except ValueError as e:
+            raise ServiceError(422, str(e)) from e
+        except RuntimeError as e:
+            raise ServiceError(503, str(e)) from e
+        except PySparkException as e:  # a model function failed in a task
+            raise ServiceError(503, "reranker or embedding model unavailable") from e
+        retrieved = time.perf_counter()
         answers = generation.answer(asked, found, self.call, self.settings.generation.retries)
-        cited = generation.citations(answers).drop("query_id")
-        row = answers.join(cited, F.lit(True)).first().asDict(recursive=True)
-        contexts = [{k: v for k, v in x.items() if with_text or k != "block"} for x in row.pop("contexts") or []]
-        return {"trace_id": uuid.uuid4().hex, "strategy": strategy or self.settings.retrieval.strategy, **row, "contexts": contexts}
+        label = T.citation_label(F.col("rank"), F.col("title"), F.col("section"), F.col("document_id"), F.col("page"))
+        row = answers.join(generation.citations(answers).drop("query_id"), F.lit(True)).drop("contexts", "query_id").first().asDict(recursive=True)
+        if row.pop("error"):
+            raise ServiceError(502, "LLM backend error")
+        shown = found.orderBy("rank").select("rank", "chunk_id", "document_id", F.round("score", 6).alias("score"), "retriever", "title", "section", F.col("metadata")["url"].alias("url"), "components", label.alias("label"), *(["text"] if with_text else []))
+        contexts = [r.asDict(recursive=True) for r in shown.collect()]  # at most 50
+        labels = {x["rank"]: x.pop("label") for x in contexts}
+        usage = {k: row.pop(k) for k in ("model", "input_tokens", "output_tokens", "attempts", "latency_s")}
+        for x in row["citations"]:
+            x["context"].pop("block", None)
+        return {
+            "trace_id": uuid.uuid4().hex, "strategy": name, **row, "sources": [labels[x["number"]] for x in row["citations"]], "contexts": contexts, "usage": usage,
+            "timings": {"retrieval_s": round(retrieved - began, 4), "total_s": round(time.perf_counter() - began, 4)},
+        }
 
 
 def list_documents(documents: DataFrame, chunks: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:

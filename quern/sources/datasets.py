@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -61,21 +62,42 @@ def run_name(name: str, split: str, label: str | None = None) -> str:
     return f"{stamp}-retrieval-{name}-{split}" + (f"-{label}" if label else "")
 
 
-def write_run(folder: str, report: DataFrame, per_query: DataFrame) -> None:
-    """report and per_query of a run below ``folder``."""
-    report.write.mode("overwrite").json(f"{folder}/report")
+def write_run(folder: str, report: dict, per_query: DataFrame) -> None:
+    """report (one JSON object) and per_query of a run below ``folder``."""
+    line = per_query.sparkSession.createDataFrame([(json.dumps(report, default=str),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(f"{folder}/report")
     per_query.write.mode("overwrite").json(f"{folder}/per_query")
 
 
+def paired_runs(spark: SparkSession, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """The rows per query of two runs; ValueError unless both are of one version of a dataset."""
+    (ra, qa), (rb, qb) = read_run(spark, a), read_run(spark, b)
+    versions = [{r[0] for r in x.select("dataset_version").distinct().limit(2).collect()} if "dataset_version" in x.columns else set() for x in (ra, rb)]
+    if versions[0] != versions[1]:
+        raise ValueError(f"runs of different datasets: {sorted(map(str, versions[0]))} and {sorted(map(str, versions[1]))}")
+    return qa, qb
+
+
+def ordered(items: DataFrame) -> DataFrame:
+    """Items by question type and id."""
+    return items.orderBy("question_type", "id")
+
+
+def extended(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """All items of a dataset and those of the new ones whose id it has not."""
+    return existing.unionByName(new.join(existing.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
 def read_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.json(f"{folder}/report"), spark.read.json(f"{folder}/per_query")
 
 
 def review_sample(items: DataFrame, per_type: int, seed: int = 0) -> DataFrame:
-    """Up to ``per_type`` items of every question type in seeded order, evidence in one cell, for a CSV sheet."""
+    """Up to ``per_type`` items of every question type in seeded order, evidence and notes in one cell each, for a CSV sheet."""
     w = Window.partitionBy("question_type").orderBy(seeded("id", seed), "id")
     quotes = F.concat_ws(" || ", F.transform("evidence", lambda e: e["quote"]))
-    return items.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_type).select("id", "question_type", "question", "ground_truth_answer", quotes.alias("evidence"))
+    noted = F.array_join(F.transform(F.array_sort(F.map_keys("notes")), lambda k: F.concat(k, F.lit("="), F.element_at("notes", k))), "; ") if "notes" in items.columns else None
+    return items.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_type).select("id", "question_type", "question", "ground_truth_answer", quotes.alias("evidence"), *([noted.alias("notes")] if "notes" in items.columns else []))
 
 
 def write_review(items: DataFrame, path: str, per_type: int, seed: int = 0) -> None:

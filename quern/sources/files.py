@@ -152,6 +152,14 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select("source", F.sha2("content", 256).alias("sha256"), F.length("content").alias("bytes"))
 
 
+def write_manifest(files: DataFrame, folder: str, header: dict[str, str]) -> None:
+    """manifest() as JSON lines below ``folder``, and one row of the header with the number of files and bytes."""
+    rows = manifest(files)
+    rows.write.mode("overwrite").json(f"{folder}/files")
+    head = rows.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).select(*[F.lit(v).alias(k) for k, v in header.items()], "files", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    head.write.mode("overwrite").json(f"{folder}/header")
+
+
 def glossary_entry(stem: str, raw: str) -> tuple[str, str, str, str]:
     """Of one glossary file the id, title, short text and full text, parted at the <!--more--> mark."""
     meta, body = front_matter(raw)
