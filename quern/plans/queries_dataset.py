@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions import text as T
 from quern.operators import bm25, dataset, generation, ingest
 from quern.plans.catalogue import query
 from quern.plans.queries_text import SQL_ESTIMATE, SQL_ITEMS, items, sql_content
@@ -63,18 +62,15 @@ def absent_terms(spark, d):
     return dataset.absent_terms(terms.unionByName(extra), table(spark, d, "documents"))
 
 
-@query(f"with own as (select id, question, {sql_content('question')} as w from {SQL_ITEMS} where question is not null) select least(a.id, b.id) as a, greatest(a.id, b.id) as b from own a join own b on a.id < b.id and len(a.w) > 0 and len(list_intersect(a.w, b.w)) >= 0.8 * len(list_distinct(list_concat(a.w, b.w)))")
+@query(
+    f"""with own as (select id, list_sort({sql_content('question')}) as w from {SQL_ITEMS} where question is not null and id is not null),
+        reps as (select w, min(id) as rep from own where len(w) > 0 group by w)
+        select a.rep as a, b.rep as b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) as similarity from reps a join reps b on a.rep < b.rep and len(list_intersect(a.w, b.w)) >= 0.8 * len(list_distinct(list_concat(a.w, b.w)))
+        union all select rep, id, 1.0 from own join reps using (w) where id <> rep"""
+)
 def near_duplicate_questions(spark, d):
-    """All pairs to the threshold: classes of equal word sets expanded to pairs for comparison with SQL."""
-    own = items(spark, d).where("question is not null").select("id", F.array_sort(T.content_words(F.col("question"))).alias("ws"))
-    near = dataset.near_duplicates(items(spark, d))
-    rep = own.groupBy("ws").agg(F.min("id").alias("rep"))
-    member = own.where(F.size("ws") > 0).join(rep, "ws").select("id", "rep")
-    reps = near.join(member.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(member.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb").select("ra", "rb").distinct()
-    x, y = member.toDF("x", "ra"), member.toDF("y", "rb")
-    across = reps.join(x, "ra").join(y, "rb").select("x", "y")
-    within = member.toDF("x", "r").join(member.toDF("y", "r"), "r").where("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Pairs of representatives to the threshold, and each other member of a class of equal word sets with its representative."""
+    return dataset.near_duplicates(items(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("with s as (select distinct l_orderkey as key, l_linenumber as n from lineitem where l_quantity > 20) select key, min(n) as first, max(n) as last from (select key, n, n - row_number() over (partition by key order by n) as i from s) group by key, i")
