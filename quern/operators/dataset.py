@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +46,36 @@ def unused(chunks: DataFrame, items: DataFrame) -> DataFrame:
     return chunks.join(items.select(F.explode("relevant_chunk_ids").alias("id")).distinct(), "id", "left_anti")
 
 
+#: Terms that are looked up at once: every task holds them as one automaton.
+MOST_TERMS = 1_000_000
+
+
 def absent_terms(terms: DataFrame, documents: DataFrame) -> DataFrame:
-    """Terms that occur in no document, ignoring case. The terms are a stated list and are broadcast after a size check."""
-    asked = terms.select("term").distinct()
-    if asked.limit(10_001).count() > 10_000:
-        raise ValueError("at most 10000 terms are looked up at once")
-    there = documents.join(F.broadcast(asked), F.contains(F.lower("text"), F.lower("term"))).select("term").distinct()
-    return asked.join(there, "term", "left_anti")
+    """Terms that occur in no document, ignoring case. Every text is read once, whatever the number of terms; a null or empty term is in none."""
+    asked = terms.where("term <> ''").select("term").distinct()
+    rows = asked.limit(MOST_TERMS + 1).toPandas()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"at most {MOST_TERMS} terms are looked up at once")
+    sent = terms.sparkSession.sparkContext.broadcast(sorted({t.lower() for t in rows["term"]}))
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        left = ahocorasick.Automaton()
+        for t in sent.value:
+            left.add_word(t, t)
+        seen: set[str] = set()
+        if len(left):
+            left.make_automaton()
+            for pdf in batches:
+                for text in pdf["text"]:
+                    seen.update(t for _, t in left.iter((text or "").lower()))
+        yield pd.DataFrame({"low": sorted(seen)}, dtype="object")
+
+    there = documents.select("text").mapInPandas(found, "low string").distinct()
+    # Lower case as the automaton has it, so that both sides of the join agree.
+    keyed = terms.sparkSession.createDataFrame([(t, t.lower()) for t in rows["term"]], "term string, low string")
+    return keyed.join(there, "low", "left_anti").select("term")
 
 
 def linked_pairs(chunks: DataFrame) -> DataFrame:

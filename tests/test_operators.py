@@ -297,6 +297,22 @@ def test_dataset_building(spark):
     assert dataset.shuffled_split(items, 0.25).where("split = 'dev'").count() == 3
 
 
+def test_absent_terms(spark):
+    terms = spark.createDataFrame([("Quay",), ("buoy mark",), ("İx",), ("",), (None,), ("quay",)], "term string")
+    docs = spark.createDataFrame([("the QUAYS",), (None,), ("",)], "text string")
+    assert sorted(r["term"] for r in dataset.absent_terms(terms, docs).collect()) == ["buoy mark", "İx"]
+    assert dataset.absent_terms(terms.limit(0), docs).count() == 0
+
+
+def test_normalization_of_files_and_columns_is_one(spark):
+    from quern.functions import text as T
+
+    texts = ["", " \n", "a\r\n b \t\r\n\r\n\r\n\r\nc\0", "# H {#x}\n\n\n\n<!-- c\nd -->text  \n", "\u00a0x\u00a0\n\n \n\ny", "## A  B {#y} \n```\n# c {#z}\n```\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_plain(F.col("t")).alias("p"), T.normalize_markdown(F.col("t")).alias("m"))
+    for r in df.collect():
+        assert r["p"] == files.clean_plain(r["t"]) and r["m"] == files.clean_markdown(r["t"])
+
+
 def test_dataset_files(spark, tmp_path):
     from quern.schema import EVAL_ITEMS
 
