@@ -517,7 +517,6 @@ def judge(question: str | None, answer: str | None, kind: str | None) -> tuple[s
 
 
 JUDGED = "defect string, tail array<long>"
-SEEN = "array<struct<h:long,over:boolean>>"
 
 
 def defects(items: DataFrame, least_seen: int = 3, least_share: float = 0.04) -> DataFrame:
@@ -529,9 +528,9 @@ def defects(items: DataFrame, least_seen: int = 3, least_share: float = 0.04) ->
     def judged(q: pd.Series, a: pd.Series, k: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([judge(*x) for x in zip(q, a, k)], columns=["defect", "tail"])
 
-    @F.pandas_udf(SEEN)
+    @F.pandas_udf("array<long>")
     def seen(answers: pd.Series) -> pd.Series:
-        return pd.Series([[{"h": h, "over": o} for h, o in zip(x.tolist(), y.tolist())] for x, y in contexts(answers.tolist())], dtype=object)
+        return pd.Series([2 * x + y for x, y in contexts(answers.tolist())], dtype=object)  # the last bit says whether it ends there
 
     own = checkpointed(one.withColumn("j", judged("question", "ground_truth_answer", "question_type")).select("id", "ground_truth_answer", "j.defect", "j.tail"))
     certain = own.where("defect is not null").select(F.col("id").alias("item_id"), "defect")
@@ -540,7 +539,7 @@ def defects(items: DataFrame, least_seen: int = 3, least_share: float = 0.04) ->
     wanted = tails.select("h").distinct()
     # Contexts of all answers without a defect; only those that some unfinished answer ends with are counted.
     every = own.where("defect is null and ground_truth_answer is not null").where(~F.col("ground_truth_answer").rlike(r"\w(?:\.\.\.|…)\s*$"))
-    every = every.select(F.explode(seen("ground_truth_answer")).alias("c")).select("c.h", "c.over")
+    every = every.select(F.explode(seen("ground_truth_answer")).alias("c")).select(F.shiftright("c", 1).alias("h"), (F.col("c") % 2 == 1).alias("over"))
     few = tails.count() < 500_000  # of 8 bytes each
     counted = every.join(F.broadcast(wanted) if few else wanted, "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"), F.count_if("over").alias("ends"))
     looked = tails.join(counted, "h", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "ends": F.coalesce("ends", F.lit(0))})
