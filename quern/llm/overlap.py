@@ -174,9 +174,10 @@ def matched(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     def places(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([exchanged(x, y) for x, y in zip(a, b)], dtype=object)
 
-    @F.pandas_udf("array<struct<place:long,word:string>>")
-    def fillers(said: pd.Series) -> pd.Series:
-        return pd.Series([[{"place": f, "word": w} for f, w in frames(x)] for x in said], dtype=object)
+    @F.pandas_udf("places array<long>, words array<string>")
+    def fillers(said: pd.Series) -> pd.DataFrame:
+        own = [frames(x) for x in said]
+        return pd.DataFrame({"places": [[f for f, _ in x] for x in own], "words": [[w for _, w in x] for x in own]})
 
     rows = checkpointed(own.withColumn("r", read("question")).select("id", "split", "r.names", "r.words", "r.said").where("names <> '' or words <> ''"))
     train = F.col("split") == TRAIN
@@ -195,7 +196,7 @@ def matched(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     # All questions tell how many words the places hold in which a pair differs.
     asked = checkpointed(near.select(F.explode("places").alias("place")).distinct())
     few = asked.count() < 500_000  # of 8 bytes each
-    held = rows.select(F.explode(fillers("said")).alias("f")).select("f.place", "f.word").join(F.broadcast(asked) if few else asked, "place", "left_semi").groupBy("place", "word").agg(F.count("*").alias("n"))
+    held = rows.select(fillers("said").alias("f")).select(F.explode(F.arrays_zip("f.places", "f.words")).alias("f")).select(F.col("f.places").alias("place"), F.col("f.words").alias("word")).join(F.broadcast(asked) if few else asked, "place", "left_semi").groupBy("place", "word").agg(F.count("*").alias("n"))
     spread = held.groupBy("place").agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("bits"))
     slots = spread.where(F.col("bits") >= float(np.log(SLOT))).select("place")
     other = near.select("t", "e", F.explode("places").alias("place")).join(slots, "place", "left_semi").select("t", "e").distinct()
