@@ -33,6 +33,16 @@ def test_encoding_equals_the_library():
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoding_over_all_planes():
+    """Letters that are newer than the library count for it as other characters."""
+    t = reference()
+    rng = random.Random(9)
+    point = lambda: rng.choice((rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x3FFFF), 0x27, 0x20, 0x61))
+    texts = ["".join(chr(point()) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    texts += [f"a{chr(int(x, 16))}b {chr(int(x, 16))}1" for run in encode.NEWER for x in run.split("-")]
+    assert [x[0] for x in tok().encode_batch(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=80), max_size=5))
 def test_encoding_round_trip(texts):
