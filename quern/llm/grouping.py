@@ -44,6 +44,11 @@ def links(items: DataFrame) -> DataFrame:
     return inner.unionByName(outer).where("a <> b").distinct()
 
 
+def _followed(hooks: DataFrame) -> DataFrame:
+    """Every node (node, up) with what its ``up`` points to."""
+    return hooks.join(hooks.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
+
+
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(labels, forest) of undirected edges (a, b): node and root of every node that has an edge, and the picked edges.
 
@@ -62,17 +67,17 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         back = pick.select(F.col("node").alias("to"), F.col("to").alias("back"))
         hooks = pick.select("node", "to").join(back, "to", "left").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("to")), F.col("node")).otherwise(F.col("to")).alias("up"))
         hooks = checkpointed(hooks)
-        while True:  # pointer doubling: depth halves
-            above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = checkpointed(hooks.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        while True:  # pointer doubling, twice before anything is written: the depth falls to a quarter
+            twice = _followed(hooks)
+            jumped = checkpointed(_followed(twice).join(twice.withColumnRenamed("up", "former"), "node"))
             hooks = jumped.select("node", "up")
-            if jumped.where("moved").isEmpty():
+            if jumped.where("up <> former").isEmpty():
                 break
         up = hooks
         if labels is None:
             labels = up.select("node", F.col("up").alias("root"))
         else:
-            labels = labels.join(up.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+            labels = checkpointed(labels.join(up.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         ends = left.join(up.select(F.col("node").alias("a"), F.col("up").alias("ra")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("rb")), "b")
         left = checkpointed(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct())
     if labels is None:
@@ -83,6 +88,11 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labels.join(least, "root").select("node", F.col("least").alias("root")), forest
 
 
+def item_forest(items: DataFrame) -> DataFrame:
+    """a and b, a < b: the links of a spanning forest of the items, as they were persisted: of every group as many as it has items, less one."""
+    return spanning_forest(links(items))[1].select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def item_groups(items: DataFrame) -> DataFrame:
     """item_id, its trimmed lower-case split and group_id, the least item id of its group."""
     own = F.lower(F.trim("split"))
@@ -99,7 +109,7 @@ def straddling_groups(items: DataFrame) -> DataFrame:
     return groups.join(split, "group_id").select("item_id", "group_id")
 
 
-def dealt_splits(items: DataFrame, shares: dict[str, float], large_at: int = 1000, lanes: int = 256) -> DataFrame:
+def dealt_splits(items: DataFrame, shares: dict[str, float], large_at: int = 1000, lanes: int | None = None) -> DataFrame:
     """item_id, group_id and the split that its whole group is dealt to, near ``shares`` of all items.
 
     Groups of more than 1/large_at of the items, at most ``large_at`` of them, go one by one,
@@ -111,6 +121,7 @@ def dealt_splits(items: DataFrame, shares: dict[str, float], large_at: int = 100
     groups = checkpointed(item_groups(items))
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"))
     count = groups.count()
+    lanes = lanes or max(256, count // 50_000)  # so that no lane holds many groups
     lacking = {s: shares[s] / total * count for s in SPLITS}
     spark = items.sparkSession
     dealt = []

@@ -103,6 +103,18 @@ def p7_splits(spark: SparkSession, folder: str) -> DataFrame:
     return dealt_splits(table(spark, folder, "eval_items"), {s: own[f"{s}_share"] for s in SPLITS})
 
 
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.grouping import item_groups
+
+    return item_groups(table(spark, folder, "eval_items")).select("item_id", "group_id")
+
+
+def p7_forest(spark: SparkSession, folder: str) -> DataFrame:
+    from quern.llm.grouping import item_forest
+
+    return item_forest(table(spark, folder, "eval_items"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     from quern.llm.encode import encode_corpus
 
@@ -130,7 +142,7 @@ def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p3_found, p4_found, p4_pieces, p5_found, p5_report, p6_found, p6_clean, p7_found, p7_splits, p8_ids, p9_containers, p10_found, p10_sentences)
+    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_neighbours, p3_found, p4_found, p4_pieces, p5_found, p5_report, p6_found, p6_clean, p7_found, p7_splits, p7_groups, p7_forest, p8_ids, p9_containers, p10_found, p10_sentences)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -166,6 +178,12 @@ ORACLE_SQL: dict[str, str] = {
                 when len(p) > 1 then list_sum(list_transform(p, lambda x: 1 + (length(x) - 1) // 7))
                 else 1 + (n - 1) // 7 end as c from parts)
         select id as parent_id from costs group by id having sum(c) > (select amount from run_settings where setting = 'child_chunk_size')""",
+    "p7_groups": """
+        with recursive named as (
+            select distinct id, lower(trim(d)) as doc from (select id, unnest(relevant_document_ids) as d from eval_items) where trim(d) <> ''),
+        links as (select distinct a.id as a, b.id as b from named a join named b using (doc)),
+        reach(a, b) as (select id, id from (select distinct id from eval_items where id is not null) union select r.a, l.b from reach r join links l on r.b = l.a)
+        select a as item_id, min(b) as group_id from reach group by a""",
     "p7_found": """
         with recursive named as (
             select distinct id, lower(trim(d)) as doc from (select id, unnest(relevant_document_ids) as d from eval_items) where trim(d) <> ''),

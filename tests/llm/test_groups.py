@@ -55,6 +55,8 @@ def test_groups_and_splits(spark):
     want = components([(own[0], o) for own in by_doc.values() for o in own], ids)
     got = {r["item_id"]: r["group_id"] for r in grouping.item_groups(df).collect()}
     assert got == want
+    forest = [(r["a"], r["b"]) for r in grouping.item_forest(df).collect()]
+    assert len(forest) == len(ids) - len(set(want.values())) and components(forest, ids) == want
     splits = {}
     for r in rows:
         if r[0] and r[2]:
