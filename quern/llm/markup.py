@@ -42,6 +42,7 @@ ELEMENT = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*|\s*/)?)>")
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|\A[^<\n]{0,80}-->[ ]*$", re.S | re.M)
 ENTITY = re.compile(r"&(?:[a-z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});")
 FENCE = re.compile(r"^[ ]{0,3}(?:```|~~~)[^\n`]*$", re.M)
+TRAILING = re.compile(r"[ \t]+(?=\n)")
 DRIVE = re.compile(r"(?<![A-Za-z])[A-Za-z]:\\\S*")
 CODE_LINE = re.compile(r"\s*(?:- )?[\w\"'./-]+:(?:\s|$)|\s+# |\s+- ")
 #: Private-use characters around the numbers of what is taken out, and of marks.
@@ -79,7 +80,7 @@ class Held:
 
     def __init__(self, text: str):
         self.parts: list[tuple[str, str, str | None]] = []
-        self.text = self._formulas(self._code(PRIVATE.sub("", text)))
+        self.text = self._formulas(self._code(text if text.isascii() else PRIVATE.sub("", text)))
 
     @property
     def kinds(self) -> set[str]:
@@ -236,7 +237,7 @@ def parsed(text: str, marks: Marks, held: Held, entities: bool) -> tuple[Node, l
         if upto > pos:
             at.children.append(html.unescape(text[pos:upto]) if entities else text[pos:upto])
 
-    for m in MARK.finditer(text):
+    for m in MARK.finditer(text) if marks.list or held.parts else ():
         words(m.start())
         pos = m.end()
         if m[1]:
@@ -526,8 +527,11 @@ def convert(text: str | None) -> tuple[str | None, list[str]]:
     t = render(root, left_out(nodes, scored(nodes)) if "html" in languages else frozenset())
     if "html" in languages:
         t = t.replace("\xa0", " ")
-    t = re.sub(r"[ \t]+(?=\n|$)", "", t)
-    t = re.sub(r"\n{3,}", "\n\n", t).strip("\n ")
+    if " \n" in t or "\t\n" in t:
+        t = TRAILING.sub("", t)
+    if "\n\n\n" in t:
+        t = re.sub(r"\n{3,}", "\n\n", t)
+    t = t.rstrip(" \t\n").strip("\n ")
     return t, [k for k in KINDS if k in languages]
 
 
