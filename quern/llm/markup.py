@@ -39,7 +39,7 @@ MATH = "frac|dfrac|sqrt|sum|prod|int|cdot|cdots|ldots|times|div|pm|le|leq|ge|geq
 
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[^<>\n]*|\s*/)?)>")
 ELEMENT = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*|\s*/)?)>")
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|\A[^<\n]{0,80}-->[ ]*$", re.S | re.M)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|\A[^<\n]*-->[ ]*$", re.S | re.M)
 ENTITY = re.compile(r"&(?:[a-z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});")
 FENCE = re.compile(r"^[ ]{0,3}(?:```|~~~)[^\n`]*$", re.M)
 TRAILING = re.compile(r"[ \t]+(?=\n)")

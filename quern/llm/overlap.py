@@ -49,10 +49,16 @@ def reduced(question: str) -> tuple[str, str, str]:
     """The names of a question, its words, each in order and parted by blanks, and its words as they follow, with # for a name."""
     if not question.isascii():
         question = INVISIBLE.sub("", unicodedata.normalize("NFKC", question))
-    names = sorted(m.rstrip(".") for m in NAME.findall(question))
+    names: list[str] = []
+
+    def taken(m: re.Match) -> str:
+        names.append(m[0].rstrip("."))
+        return " # "
+
+    said = PLACE.findall(NAME.sub(taken, question.replace("#", " ")).lower())
+    names.sort()
     if question.isupper():
         names = [x.lower() for x in names]
-    said = PLACE.findall(NAME.sub(" # ", question.replace("#", " ")).lower())
     return " ".join(names), " ".join(sorted(w for w in said if w != "#")), " ".join(said)
 
 
