@@ -68,22 +68,26 @@ def search(index: Index, queries: DataFrame, k: int, analyzer: Analyzer = Analyz
     """
     if k <= 0:
         return queries.select("query_id", F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    asked = queries.where("trim(query) <> ''").select("query_id", F.explode(F.array_distinct(analyzer.terms(F.col("query")))).alias("term"))
+    # Queries with the same terms are one class, scored once.
+    read = queries.where("trim(query) <> ''").select("query_id", F.array_sort(F.array_distinct(analyzer.terms(F.col("query")))).alias("terms")).where(F.size("terms") > 0)
+    classes = read.select("terms").distinct().select(F.array_join("terms", " ").alias("class"), "terms")
+    asked = classes.select("class", F.explode("terms").alias("term"))
     # Only the queries are counted. Where they are few, their terms go to the postings and nothing but hits is shuffled.
     few = asked.limit(SMALL + 1).count() <= SMALL
     hint = F.broadcast if few else (lambda df: df)
     weighted = asked.join(index.weights(hint(asked.select("term").distinct())).select("term", "idf"), "term")
     hits = index.postings.join(hint(weighted), "term").join(F.broadcast(index.stats), F.lit(True))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = hits.groupBy("class", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
     if keep is not None:
         scored = scored.join(keep.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return top_k(scored, k)
+    best = top_k(scored, k, key="class")
+    return read.select("query_id", F.array_join("terms", " ").alias("class")).join(best, "class").drop("class")
 
 
-def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
-    """The k best rows of every query with their rank; ties go to the smaller chunk_id. Limited before the shuffle."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(by), "chunk_id")
+def top_k(scored: DataFrame, k: int, by: str = "score", key: str = "query_id") -> DataFrame:
+    """The k best rows of every query (or other key) with their rank; ties go to the smaller chunk_id. Limited before the shuffle."""
+    w = Window.partitionBy(key).orderBy(F.desc(by), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -11,7 +11,7 @@ from quern.functions.markdown import Section, sections
 from quern.functions.tokens import estimate
 from quern.operators import ann, bm25, chunking, dataset, dense, evaluation, fusion, generation
 from quern.plans import registry
-from quern.plans.service import Engine
+from quern.plans.service import Engine, ServiceError
 from quern.sources import datasets, files
 
 
@@ -165,10 +165,10 @@ def test_engine_end_to_end(spark, tmp_path):
     for strategy in ("dense", "hybrid", "hybrid_rerank"):
         assert engine.query("traffic of a quay", strategy, 2)["contexts"]
     assert engine.query("zzz unknown")["abstained"]
-    with pytest.raises(NotImplementedError):
-        engine.query("x", "corrective")
-    with pytest.raises(ValueError):
-        engine.query("")
+    for text, strategy, status in (("x", "corrective", 501), ("", None, 422), ("x", "none", 422)):
+        with pytest.raises(ServiceError) as failure:
+            engine.query(text, strategy)
+        assert failure.value.status == status
     assert engine.query("traffic", "bm25", filters={"source_type": "txt"})["contexts"] == []
 
 
@@ -297,6 +297,28 @@ def test_dataset_building(spark):
     assert dataset.shuffled_split(items, 0.25).where("split = 'dev'").count() == 3
 
 
+GOLDEN = (
+    "# Guide\n\nIntro text here.\n\n## Setup\n\nFirst step is short. Second step is short too! A third one?\n\n```yaml\nkind: Pod\nname: x\n```\n\n- item one\n- item two\n\n## Empty\n"
+)
+
+
+def test_chunker_golden():
+    """Pieces of a small document, written out: headings with what follows, a fence whole, sentences and list items where a block is too large, the last sentences repeated."""
+    cut = lambda limit, overlap=0, a=0, b=len(GOLDEN): [GOLDEN[p.start : p.end] for p in chunking.pieces(chunking.Ruler(GOLDEN), a, b, limit, overlap)]
+    assert [GOLDEN[p.start : p.end] for p in chunking.blocks(chunking.Ruler(GOLDEN), 0, len(GOLDEN))] == [
+        "# Guide\n\nIntro text here.", "## Setup\n\nFirst step is short. Second step is short too! A third one?", "```yaml\nkind: Pod\nname: x\n```", "- item one\n- item two", "## Empty"
+    ]
+    assert cut(1000) == [GOLDEN.strip()]
+    assert cut(16) == ["# Guide\n\nIntro text here.\n\n## Setup\n\nFirst step is short.", "Second step is short too! A third one?", "```yaml\nkind: Pod\nname: x\n```", "- item one\n- item two\n\n## Empty"]
+    begin = "# Guide\n\nIntro text here.\n\n## Setup\n\nFirst step is short. Second step is short too! A third one?"
+    # A repeated span leaves no room for the next one, or only its last sentence fits.
+    assert cut(24, 10) == [begin, "Second step is short too! A third one?\n\n```yaml\nkind: Pod\nname: x\n```", "- item one\n- item two\n\n## Empty"]
+    assert cut(24, 6) == [begin, "A third one?\n\n```yaml\nkind: Pod\nname: x\n```\n\n- item one\n- item two", "- item one\n- item two\n\n## Empty"]
+    own = sections(GOLDEN)
+    ups = chunking.parents(GOLDEN, own, 30)
+    assert [(u[1], u[2]) for u in ups] == [("Guide", ["Guide"]), ("Guide > Setup", ["Guide > Setup"]), ("Guide > Setup", ["Guide > Setup"]), ("Guide > Empty", ["Guide > Empty"])]
+
+
 def test_absent_terms(spark):
     terms = spark.createDataFrame([("Quay",), ("buoy mark",), ("İx",), ("",), (None,), ("quay",)], "term string")
     docs = spark.createDataFrame([("the QUAYS",), (None,), ("",)], "text string")
