@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,6 +93,37 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+_MODELS: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def embedder(name: str, load: Callable[[], Callable[[list[str]], np.ndarray]], dims: int, normalize: bool = True) -> Callable[[Column], Column]:
+    """A model as a function of a text column, called once per Arrow batch.
+
+    ``load`` is called once in each worker process, under ``name``. Vectors come out at unit length unless ``normalize`` is off; null
+    texts give null, and vectors of another length than ``dims`` are an error.
+    """
+
+    def column(text: Column) -> Column:
+        @F.pandas_udf("array<float>")
+        def embed(texts: pd.Series) -> pd.Series:
+            if name not in _MODELS:
+                _MODELS[name] = load()
+            there = texts.notna().to_numpy()
+            out = pd.Series([None] * len(texts), dtype=object)
+            if there.any():
+                v = np.asarray(_MODELS[name](texts[there].tolist()), np.float32)
+                if v.shape != (there.sum(), dims):
+                    raise ValueError(f"{name} gave vectors of shape {v.shape[1:]}, not {dims}")
+                if normalize:
+                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                out[np.flatnonzero(there)] = pd.Series(list(v), index=np.flatnonzero(there), dtype=object)
+            return out
+
+        return embed(text)
+
+    return column
+
+
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed counts of hashed words, of unit length.
 

@@ -47,6 +47,17 @@ def test_inverted_file(spark, metric, monkeypatch):
     assert {r["chunk_id"] for r in kept} <= set(range(100)) and len(kept) == 10 * q.count()
 
 
+def test_embedder_of_a_model(spark):
+    lengths = lambda texts: np.array([[len(t), 0.0, 3.0] for t in texts])
+    df = spark.createDataFrame([("abcd",), (None,), ("",)], "t string")
+    got = [r["v"] for r in df.select(dense.embedder("lengths", lambda: lengths, 3)(F.col("t")).alias("v")).collect()]
+    assert np.allclose(got[0], [0.8, 0, 0.6]) and got[1] is None and np.allclose(got[2], [0, 0, 1])
+    raw = df.select(dense.embedder("lengths", lambda: lengths, 3, normalize=False)(F.col("t")).alias("v")).first()["v"]
+    assert np.allclose(raw, [4, 0, 3])
+    with pytest.raises(Exception, match="not 4"):
+        df.select(dense.embedder("other", lambda: lengths, 4)(F.col("t")).alias("v")).collect()
+
+
 @pytest.mark.parametrize("metric", dense.METRICS)
 def test_dense_in_blocks(spark, metric, monkeypatch):
     rng = np.random.default_rng(2)
