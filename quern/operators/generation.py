@@ -118,7 +118,7 @@ def usage(calls: DataFrame, *by: str) -> DataFrame:
     """Calls, tokens, latency, cost and models without a price, of calls with their cost."""
     return calls.groupBy(*by).agg(
         F.count("*").alias("llm_calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.bround(F.sum("latency_s"), 4).alias("llm_latency_s"),
-        F.bround(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 6).alias("estimated_cost_usd"), F.array_sort(F.collect_set(F.when(F.col("cost_usd").isNull(), F.col("model")))).alias("unpriced_models"),
+        F.bround(F.sum(F.coalesce("cost_usd", F.lit(0.0)).cast("decimal(38,12)")), 6).cast("double").alias("estimated_cost_usd"), F.array_sort(F.collect_set(F.when(F.col("cost_usd").isNull(), F.col("model")))).alias("unpriced_models"),
     )
 
 

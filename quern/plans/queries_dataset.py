@@ -116,14 +116,14 @@ PRICES = (("tidewriter-7b", 0.4, 1.2), ("mistral-quay-3b", 0.1, 0.3))
 
 @query(
     """with calls as (select question_type, coalesce(provenance.generator_model, 'offline') as model, length(question) as i, length(ground_truth_answer) as o from (select * from eval_items qualify row_number() over (partition by id) = 1)),
-        priced as (select *, case model when 'tidewriter-7b' then (i * 0.4 + o * 1.2) / 1e6 when 'mistral-quay-3b' then (i * 0.1 + o * 0.3) / 1e6 when 'offline' then 0.0 end as c from calls)
-        select question_type, count(*) as llm_calls, sum(i) as input_tokens, sum(o) as output_tokens, round(sum(coalesce(c, 0)), 6) as estimated_cost_usd, coalesce(array_to_string(list_sort(list_distinct(list(model) filter (where c is null))), ','), '') as unpriced from priced group by question_type"""
+        priced as (select *, case model when 'tidewriter-7b' then i * 4 + o * 12 when 'mistral-quay-3b' then i * 1 + o * 3 when 'offline' then 0 end as c from calls)
+        select question_type, count(*) as llm_calls, sum(i) as input_tokens, sum(o) as output_tokens, (sum(coalesce(c, 0))::hugeint // 10 + case when sum(coalesce(c, 0))::hugeint % 10 > 5 or sum(coalesce(c, 0))::hugeint % 10 = 5 and sum(coalesce(c, 0))::hugeint // 10 % 2 = 1 then 1 else 0 end)::double / 1e6 as estimated_cost_usd, coalesce(array_to_string(list_sort(list_distinct(list(model) filter (where c is null))), ','), '') as unpriced from priced group by question_type"""
 )
 def usage_cost(spark, d):
     calls = items(spark, d).select("question_type", F.coalesce("provenance.generator_model", F.lit("offline")).alias("model"), F.length("question").alias("input_tokens"), F.length("ground_truth_answer").alias("output_tokens"), F.lit(0.0).alias("latency_s"))
     prices = F.broadcast(spark.createDataFrame(PRICES, "model string, price_in double, price_out double"))
     u = generation.usage(generation.cost(calls, prices), "question_type")
-    return u.select("question_type", "llm_calls", "input_tokens", "output_tokens", F.round("estimated_cost_usd", 6).alias("estimated_cost_usd"), F.array_join("unpriced_models", ",").alias("unpriced"))
+    return u.select("question_type", "llm_calls", "input_tokens", "output_tokens", "estimated_cost_usd", F.array_join("unpriced_models", ",").alias("unpriced"))
 
 
 @query(
