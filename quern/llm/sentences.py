@@ -9,8 +9,8 @@ the ends of paragraphs are boundaries; stops within tokens, before small letters
 end a paragraph although they often stand before a stop, are none.
 
 Training uses at most ``sample_documents`` documents, first in hash order; the lower-case words
-that begin paragraphs, such as command names, are counted over all documents. Every
-document is then cut as a whole.
+that begin paragraphs, such as command names, are counted over all documents, by the same
+thresholds however many there are. Every document is then cut as a whole.
 
 Defined results: a null, empty or blank text has no sentences. Offsets are half-open, in code
 points. A paragraph without closing punctuation is one sentence.
@@ -18,14 +18,22 @@ points. A paragraph without closing punctuation is one sentence.
 
 from __future__ import annotations
 
+import atexit
+import mmap
+import os
 import re
+import shutil
+import tempfile
 import unicodedata
+import uuid
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,7 +122,7 @@ def shape(token: str) -> str:
     return "mark"
 
 
-def features(text: str, a: int, b: int, lo: int, hi: int, starters: frozenset[str], after: int | None = None) -> list[str]:
+def features(text: str, a: int, b: int, lo: int, hi: int, starters: Set[str], after: int | None = None) -> list[str]:
     """Features of the candidate text[a:b] within the paragraph [lo, hi); ``after`` says where the next token begins instead."""
     back = re.search(r"[^\s([{“„«\"'¿¡]*$", text[max(lo, a - 48) : a])[0]
     before = text[max(lo, a - 48) : a - len(back)]
@@ -221,7 +229,7 @@ La puerta está cerrada.
 class Splitter:
     """Weights of the classifier and the lower-case words that begin sentences."""
 
-    def __init__(self, weights: dict[str, float], starters: frozenset[str]):
+    def __init__(self, weights: dict[str, float], starters: Set[str]):
         self.weights, self.starters = weights, starters
 
     def ends(self, text: str, a: int, b: int, lo: int, hi: int) -> bool:
@@ -329,7 +337,7 @@ def never_last(ends: Counter, inner: Counter, chance: float = 0.01) -> frozenset
     return frozenset(w for w, n in inner.items() if not ends[w] and (1 - share) ** n < chance)
 
 
-def train(texts: list[str], starters: frozenset[str] | None = None, steps: int = 300) -> Splitter:
+def train(texts: list[str], starters: Set[str] | None = None, steps: int = 300) -> Splitter:
     """Fit on reliable cases of ``texts`` and on EXAMPLES.
 
     Boundaries are the ends of paragraphs, joined with the next one by a blank or, where whole words touch, by nothing. No boundaries are full stops within a token, before
@@ -394,16 +402,75 @@ def train(texts: list[str], starters: frozenset[str] | None = None, steps: int =
     return Splitter({f: float(w[i]) for f, i in names.items()}, own)
 
 
-def starters_of(documents: DataFrame, least: float = 0.03) -> frozenset[str]:
-    """``lower_starts`` of all documents, counted where they are; of a word at least one in a million paragraphs begins with, so there are at most a million."""
+@lru_cache(maxsize=8)
+def mapped(name: str) -> mmap.mmap:
+    """A file that was shipped to the workers, mapped into memory."""
+    with open(SparkFiles.get(name), "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+@lru_cache(maxsize=1 << 16)
+def listed(name: str, word: str) -> bool:
+    """Whether ``word`` is a line of a file of ``shipped``, by bisection."""
+    lines, key = mapped(name), word.encode("utf-8", "surrogatepass")
+    lo, hi = 0, len(lines) - 1  # line feeds; the word is between them or nowhere
+    while lo < hi:
+        start = lines.rfind(b"\n", lo, (lo + hi) // 2 + 1)
+        end = lines.find(b"\n", start + 1)
+        line = lines[start + 1 : end]
+        if line == key:
+            return True
+        lo, hi = (end, hi) if line < key else (lo, start)
+    return False
+
+
+class Words(Set):
+    """The words of a file of ``shipped`` and a few ``more``. Only what is looked up is read, so there may be any number of them."""
+
+    _from_iterable = staticmethod(frozenset)
+
+    def __init__(self, name: str, more: frozenset[str] = frozenset()):
+        self.name, self.more = name, more
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.more or listed(self.name, word)
+
+    def __iter__(self) -> Iterator[str]:
+        lines, at = mapped(self.name), 1
+        while at < len(lines):
+            end = lines.find(b"\n", at)
+            yield lines[at:end].decode()
+            at = end + 1
+        yield from (w for w in self.more if not listed(self.name, w))
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def __or__(self, other: Set[str]) -> Words:
+        return Words(self.name, self.more | other)
+
+    __ror__ = __or__
+
+
+def shipped(words: DataFrame) -> str:
+    """The name of a file that all workers get: a line feed, then the distinct words of the column ``w``, one a line, in byte order. The driver writes it partition by partition."""
+    folder, name = tempfile.mkdtemp(), f"quern-words-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, folder, True)
+    with open(os.path.join(folder, name), "wb") as f:
+        f.write(b"\n")
+        f.writelines(r["w"].encode() + b"\n" for r in words.orderBy("w").toLocalIterator())
+    words.sparkSession.sparkContext.addFile(f.name)
+    return name
+
+
+def starters_of(documents: DataFrame, least: float = 0.03) -> Words:
+    """``lower_starts`` of all documents, counted where they are."""
     texts = documents.where(F.length("text") > 0).select("text")
     first = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)(?:^|\n[^\S\n]*\n)\s*(\w*)"), 1)).alias("w")).groupBy(F.regexp_extract("w", r"(?U)^([^\W_]*)", 1).alias("w")).agg(F.count("*").alias("n"))
-    first = checkpointed(first)
-    total = first.agg(F.sum("n")).first()[0] or 0
-    small = checkpointed(first.where((F.col("w") != "") & (F.lower("w") == F.col("w")) & (F.upper("w") != F.col("w")) & (F.col("n") >= max(2, total // 1_000_000))))
-    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)(?<!\S)([^\W_]+)"), 1)).alias("w")).join(F.broadcast(small.select("w")), "w", "left_semi")
+    small = first.where((F.col("w") != "") & (F.lower("w") == F.col("w")) & (F.upper("w") != F.col("w")) & (F.col("n") >= 2))
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)(?<!\S)([^\W_]+)"), 1)).alias("w")).where(F.lower("w") == F.col("w"))
     every = words.groupBy("w").agg(F.count("*").alias("every"))
-    return frozenset(r["w"] for r in small.join(every, "w").where(F.col("n") > least * F.col("every")).select("w").collect())
+    return Words(shipped(checkpointed(small.join(every, "w").where(F.col("n") > least * F.col("every")).select("w"))))
 
 
 def fitted(documents: DataFrame, sample_documents: int = 2_000, sample_chars: int = 20_000) -> Splitter:

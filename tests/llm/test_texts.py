@@ -227,6 +227,35 @@ def test_sentence_rows(spark):
     assert sentences.sentences(df.limit(0)).count() == 0
 
 
+def test_starters_do_not_depend_on_the_size(spark):
+    """Two paragraphs that begin with a word are enough, however many other paragraphs there are."""
+    own = spark.createDataFrame([("zcli starts it.",), ("Ok.\n\nzcli ends it.",), ("once is chance.",), (None,), ("",)], "text string").withColumn("doc_id", F.monotonically_increasing_id())
+    others = spark.range(3000).select(F.repeat(F.lit("Ok.\n\n"), 1000).alias("text"), F.col("id").alias("doc_id"))
+    few, many = sentences.starters_of(own), sentences.starters_of(own.unionByName(others))
+    assert "zcli" in many and "once" not in many and "Ok" not in many
+    assert set(few) == set(many) == {"zcli"}
+
+
+def test_listed_words(spark):
+    """Lookups in the file of words, in the driver and in the workers, equal those in a set."""
+    rng = random.Random(5)
+    some = {"".join(rng.choice("aàbяß中𝒶") for _ in range(rng.randint(1, 4))) for _ in range(600)}
+    asked = [*some, "", "a" * 9, *(w + "a" for w in some), *(w[:-1] for w in some)]
+    words = sentences.Words(sentences.shipped(spark.createDataFrame([(w,) for w in some], "w string"))) | frozenset(["more"])
+    assert sorted(words) == sorted(some | {"more"}) and len(words) == len(some) + 1 and "more" in words
+    assert [w in words for w in asked] == [w in some for w in asked]
+    there = F.udf(lambda w: w in words, "boolean")
+    assert {(r["w"], r["x"]) for r in spark.createDataFrame([(w,) for w in asked], "w string").select("w", there("w").alias("x")).collect()} == {(w, w in some) for w in asked}
+    none = sentences.Words(sentences.shipped(spark.createDataFrame([], "w string")))
+    assert "a" not in none and not list(none) and "a" in frozenset("a") | none
+
+
+def test_starters_begin_sentences(spark):
+    rows = [(n, "zcli starts it.", "txt") for n in range(2)] + [(2, "All is done. zcli runs now. It was e.g. here.", "txt")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source_type string")
+    assert sorted((r["start_char"], r["end_char"]) for r in sentences.sentences(df).where("doc_id = 2").collect()) == [(0, 12), (13, 27), (28, 45)]
+
+
 Q = "How does shoalShardLabel limit the traffic of the beacon?"
 DEFECTS = [
     (None, "empty"), ("", "empty"), (" \u200b", "empty"), ("n/a", "empty"), ("—", "empty"), ("<answer>", "empty"), ("[]", "empty"), ("TBD", "empty"), ("Sorry, I can't help with that request.", "refusal"), ("I must decline to answer.", "refusal"),
